@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat_format, quality_rules, sharding, simhash_dedup
+from . import chat_format, packing, quality_rules, sharding, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op7_suffix_array_dedup": substring_dedup.op7_suffix_array_dedup,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_sharding": sharding.op10_sharding,
 }

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, table
 
@@ -57,7 +58,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", size: int = 3) -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*rest, "fp"])
 
     kinds = docs.select(*rest).schema
-    return docs.select(*rest, text).mapInArrow(run, kinds.add("fp", "long"))
+    return docs.select(*rest, text).mapInArrow(run, T.StructType([*kinds.fields, T.StructField("fp", T.LongType())]))
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
