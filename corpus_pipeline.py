@@ -1,4 +1,83 @@
-"""Corpus pipeline: each stage works on all that its predecessor kept."""
+"""Corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect.
 
-STAGES: list = []
+quality_rules drops rejected documents; simhash_dedup keeps the document of the smallest id of each group of near copies;
+suffix_array_dedup cuts strings of 400 bytes or more that stand elsewhere too (characters stay whole) and drops documents
+without a word left; decontamination drops documents that hold a benchmark item; best_fit_packing packs what is left.
+"""
+
+from __future__ import annotations
+
+import uuid
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import common, decontamination, packing, quality_rules, simhash_dedup, substring_dedup
+
+_made: list[str] = []
+
+
+def _stage(run):
+    """A stage deletes the tables that the one before it wrote on the way, as that one's result has been written."""
+
+    @wraps(run)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        first = run is _quality
+        if not first:
+            common.release(spark, _made)
+        _made.clear()
+        before = set(common.scratch())
+        out = run(spark, docs, sf_dir)
+        _made.extend(x for x in common.scratch() if x not in before)
+        return out
+
+    return stage
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_dedup.keep_one(docs)
+
+
+def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup_substrings(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+
+
+def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(common.materialize(packing.pieces(docs)))
+
+
+STAGES = [
+    ("quality_rules", _stage(_quality)),
+    ("simhash_dedup", _stage(_near)),
+    ("suffix_array_dedup", _stage(_substrings)),
+    ("decontamination", _stage(_benchmark)),
+    ("best_fit_packing", _stage(_pack)),
+]
+
+#: SQL can't express the stages; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each result but the last is written to the shared folder and reread."""
+    docs, last = common.table(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        path = f"{common.scratch_dir(spark)}/corpusloom-stage-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        if last:
+            common.release(spark, [last])
+        docs, last = spark.read.schema(out.schema).parquet(path), path
+    return docs

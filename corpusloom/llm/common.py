@@ -57,11 +57,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that materialize() wrote; only when no result that reads them is still needed."""
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+def scratch() -> list[str]:
+    return list(_scratch)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that materialize() wrote; only when no result that reads them is still needed."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if p in _scratch:
+            _scratch.remove(p)
 
 
 def parts(spark: SparkSession) -> int:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat_format, packing, quality_rules, sharding, simhash_dedup, substring_dedup
+from . import chat_format, decontamination, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_suffix_array_dedup": substring_dedup.op7_suffix_array_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,

@@ -146,8 +146,15 @@ class Subwords:
             flat[word_at[w] : word_at[w + 1]] = ids
         return flat, word_at
 
-    def texts(self, texts: pa.Array, block: int = 1 << 22):
+    def texts(self, texts: pa.Array, block: int = 1 << 23):
         """(ids, offsets) of runs of texts, in order; nulls have no ids. A run has about `block` bytes, or one text."""
+        for _, _, _, ids, at in self.with_words(texts, block):
+            yield ids, at
+
+    def with_words(self, texts: pa.Array, block: int = 1 << 23):
+        """As texts(), before that the distinct words, the index of each word in them and where texts start among words.
+
+        An empty string among the distinct words stands for white space at the ends of texts."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // block
         cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)] if len(texts) else []
@@ -160,7 +167,7 @@ class Subwords:
             lens = np.diff(word_at)[index]
             total = np.concatenate([[0], np.cumsum(lens)])
             ids = flat[np.arange(total[-1]) + np.repeat(word_at[index] - total[:-1], lens)] if len(index) else np.zeros(0, np.int32)
-            yield ids, total[at]
+            yield coded.dictionary, index, at, ids, total[at]
 
 
 @lru_cache(2)
