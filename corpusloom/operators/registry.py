@@ -1,4 +1,6 @@
 """All queries of the dialog-corpus operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import dialog, mining, texts, training  # noqa: F401
+
+QUERIES = dialog.QUERIES
+ORACLE_SQL = dialog.ORACLE_SQL
