@@ -1,9 +1,10 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 Fingerprints of 64 bits are split into partitions of correlated bits; a dynamic programme allots each partition a
-threshold (unequal, -1 leaves it out) so that thresholds sum to radius - partitions + 1, at the least estimated number
+threshold (unequal, -1 leaves it out) so that thresholds sum to radius - partitions + 1, at the least estimated cost
 of probes and candidates. Any two fingerprints within the radius then meet in a bucket of some partition, where they are
-verified. Buckets of over BUCKET entries aren't paired: their fingerprints go through the star of their one-bit
+verified; a bucket gives one link for each fingerprint, to the smallest one that it reaches there. Buckets of over BUCKET
+entries aren't compared: their fingerprints go through the star of their one-bit
 neighbours, which is exact for a radius of 2 (two fingerprints differ in at most two bits if and only if some word
 differs from each in at most one) and linear in their number.
 
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from .common import materialize, table
 
 RADIUS = 2
-BUCKET = 64
+BUCKET = 4096
+#: Cost of comparing two fingerprints against that of a row that is shuffled; and the rows of a star.
+COMPARE, STAR = 0.005, 65
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -121,7 +124,7 @@ def plan(fps: DataFrame, radius: int = RADIUS, partitions: tuple = (2, 3, 4)) ->
     groups = {m: correlated_groups(both, n, m) for m in partitions}
     keys = [(m, i) for m in partitions for i in range(m)]
     entries = fps.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(groups[m][i])).cast("long")).alias("v")) for k, (m, i) in enumerate(keys)])).alias("e")).select("e.*")
-    pairs = {keys[r.k]: float(r.p) for r in entries.groupBy("k", "v").count().groupBy("k").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("p")).collect()}
+    pairs = {keys[r.k]: float(r.p) for r in entries.groupBy("k", "v").count().groupBy("k").agg(F.sum(F.when(F.col("count") <= BUCKET, COMPARE * F.col("count") * (F.col("count") - 1) / 2).otherwise(1.0 * STAR * F.col("count"))).alias("p")).collect()}
     p = both.diagonal() / max(n, 1)
     odds = (d := 2 * p * (1 - p)) / np.maximum(1 - d, 1e-9)
 
@@ -147,6 +150,36 @@ def _flips(value: Column, bits: list[int], e: int) -> Column:
     return F.transform(F.array(*[F.lit(x).cast("long") for x in signed]), lambda x: value.bitwiseXOR(x))
 
 
+def _bucket_links(radius: int):
+    """For each bucket, (smallest that is reached, fingerprint) where they differ; an index entry links with any entry."""
+
+    def run(batches):
+        for batch in batches:
+            low: list[np.ndarray] = [np.zeros(0, np.int64)]
+            high: list[np.ndarray] = [np.zeros(0, np.int64)]
+            for fps, own in zip(batch.column(0), batch.column(1), strict=True):
+                fps, own = np.array(fps.values), np.array(own.values.to_numpy(zero_copy_only=False))
+                raw, label = fps.view(np.uint64), fps.copy()
+                near: list[np.ndarray] = []
+                for i in range(0, len(fps), 256):  # 256 rows of the matrix at a time
+                    a, b = np.nonzero((np.bitwise_count(raw[i : i + 256, None] ^ raw[None, :]) <= radius) & (own[i : i + 256, None] | own[None, :]))
+                    keep = a + i < b
+                    near.append(np.stack([a[keep] + i, b[keep]]))
+                a, b = np.concatenate(near, axis=1)
+                while len(a):
+                    least = np.minimum(label[a], label[b])
+                    if (label[a] == least).all() and (label[b] == least).all():
+                        break
+                    np.minimum.at(label, a, least)
+                    np.minimum.at(label, b, least)
+                moved = label < fps
+                low.append(label[moved])
+                high.append(fps[moved])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=["a", "b"])
+
+    return run
+
+
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, partitions: tuple = (2, 3, 4)) -> DataFrame:
     """Edges (u > v) that connect exactly the distinct fingerprints that differ in radius bits or fewer."""
     if radius != 2:
@@ -160,8 +193,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, partitions
     entries = reduce(DataFrame.unionByName, sides)
     sizes = entries.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own")).where("n > 1 and n_own > 0")
     full = materialize(entries.join(sizes.select("part", "key", "n"), ["part", "key"]))
-    small = full.where(F.col("n") <= bucket).groupBy("part", "key").agg(F.collect_list(F.struct("fp", "own")).alias("x"))
-    pairs = small.select(F.explode("x").alias("a"), "x").where("a.own").select(F.col("a.fp").alias("a"), F.explode(F.expr("transform(filter(x, b -> b.fp != a.fp and bit_count(b.fp ^ a.fp) <= %d and (b.fp < a.fp or not b.own)), b -> b.fp)" % radius)).alias("b"))
+    small = full.where(F.col("n") <= bucket).groupBy("part", "key").agg(F.collect_list("fp").alias("fps"), F.collect_list("own").alias("own"))
+    pairs = small.select("fps", "own").mapInArrow(_bucket_links(radius), "a long, b long")
     hot = full.where(F.col("n") > bucket).select("fp").distinct()
     star = hot.select("fp", F.explode(F.concat(F.array("fp"), _flips(F.col("fp"), list(range(64)), 1))).alias("key"))
     groups = star.groupBy("key").agg(F.collect_set("fp").alias("x")).where(F.size("x") > 1)  # 65 at most
