@@ -36,7 +36,7 @@ def _stage(run):
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.passing(quality_rules.quality_rules(docs)).select(*docs.columns)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
