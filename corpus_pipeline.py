@@ -13,6 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import share_code
 from corpusloom.llm import common, decontamination, packing, quality_rules, simhash_dedup, substring_dedup
 
 _made: list[str] = []
@@ -27,6 +28,7 @@ def _stage(run):
         if not first:
             common.release(spark, _made)
         _made.clear()
+        share_code(spark)
         before = set(common.scratch())
         out = run(spark, docs, sf_dir)
         _made.extend(x for x in common.scratch() if x not in before)
