@@ -170,6 +170,29 @@ def test_model_scores_each_id_once_and_sums_to_one():
             done = end
 
 
+def test_probabilities_within_the_last_class_sum_to_one(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CLASSES", 3)
+    rng = np.random.default_rng(4)
+    vocabulary = lm_scoring.Vocabulary(np.array([50, 3, 40, 0, 7, 2, 9]))
+    rest = np.flatnonzero(vocabulary.rest)
+    n = {(a, int(b)): int(rng.integers(1, 9)) for a in (0, 4, 6, lm_scoring.START) for b in rest[:3]}
+    totals = Counter()
+    for (a, _), c in n.items():
+        totals[a] += c
+    kept = {k: c for k, c in n.items() if c > 3}
+    vocabulary.keep_pairs(np.array([a << 20 | b for a, b in kept]), np.array(list(kept.values()), float), np.array(list(totals)), np.array(list(totals.values()), float))
+    for a in (0, 1, 4, 5, 6, lm_scoring.START):
+        p = 10 ** vocabulary.within(rest, np.full(len(rest), a))
+        assert abs(p.sum() - 1) < 1e-9
+        for b, x in zip(rest, p):
+            if a in totals:
+                left = totals[a] - sum(c - lm_scoring.DISCOUNT for (y, _), c in kept.items() if y == a)
+                assert abs(x - (max(kept.get((a, b), 0) - lm_scoring.DISCOUNT, 0) + left * vocabulary.share[b]) / totals[a]) < 1e-9
+            else:
+                assert abs(x - vocabulary.share[b]) < 1e-9
+    assert (vocabulary.within(np.flatnonzero(~vocabulary.rest), np.zeros(2, int)) == 0).all()
+
+
 def test_gradient():
     rng = np.random.default_rng(3)
     net = lm_scoring.Attention(inputs=7, width=3, classes=5, window=6)
