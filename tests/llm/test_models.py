@@ -172,7 +172,7 @@ def test_model_scores_each_id_once_and_sums_to_one():
 
 def test_large_logits_are_shifted():
     rng = np.random.default_rng(6)
-    net = lm_scoring.Attention(inputs=9, width=4, classes=5, window=8, prior=(rng.standard_normal((9, 5)) * 60).astype(np.float32))
+    net = lm_scoring.Attention(inputs=9, width=4, classes=5, window=8, prior=(rng.standard_normal((9, 5)) * 150).astype(np.float32))
     net.p["out"] *= 200
     ids, target = rng.integers(0, 9, (3, 8)), rng.integers(0, 5, (3, 5))
     want = np.take_along_axis(net.forward(ids, 3)[0], target[..., None], 2)[..., 0]
