@@ -229,3 +229,15 @@ def test_empty(spark, empty_dir):
     assert quality_classifier.op3_quality_classifier(spark, empty_dir).count() == 0
     assert url_filter.op4_url_filter(spark, empty_dir).count() == 0
     assert lm_scoring.op6_lm_scoring(spark, empty_dir).count() == 0
+
+
+def test_copies_of_many_tasks_are_averaged(spark, rows, monkeypatch):
+    """Adding up in between changes nothing but rounding."""
+    docs = spark.createDataFrame([(r[1], hash(r[1]) % 10**6) for r in rows[:60]], "text string, h long")
+    counts = np.ones(lm_scoring.subword.load(lm_scoring.subword.tokenizer_path()).size + 1)
+    args = docs, lm_scoring.Vocabulary(counts), lm_scoring.prior_logits(np.zeros((lm_scoring.INPUTS + 2, lm_scoring.CLASSES))), lm_scoring.subword.tokenizer_path(), 1, 5
+    plain = lm_scoring.train(*args).p
+    monkeypatch.setattr(lm_scoring, "SHARDS", 1)
+    summed = lm_scoring.train(*args).p
+    fresh = lm_scoring.Attention().p
+    assert all(np.allclose(plain[k], summed[k], atol=1e-6) for k in plain) and not np.allclose(plain["out"], fresh["out"])
