@@ -6,9 +6,8 @@ told apart by their corpus frequencies after the id before, so a score is a prob
 logits start from the smoothed frequency of a class after the id before it; attention learns what the wider context adds.
 
 Corpus statistics cover all training documents: counts of words (hashed to 64 bits) for the base score, of ids and of
-pairs of ids. The model's weights are fitted on the training documents whose hash falls in one of FRACTION parts, so
-their number grows with the input; so does that of the tasks (SHARDS at least, one for SHARD_WORDS words) that fit copies
-of the model on their documents, block by block. The copies are averaged after each of EPOCHS rounds. Words are split at ASCII white space, A-Z lower-cased.
+pairs of ids. The model's weights are fitted on all training documents; the number of tasks (SHARDS at least, one for
+SHARD_WORDS words) that fit copies of the model on their documents, block by block, grows with the input. The copies are averaged after each of EPOCHS rounds. Words are split at ASCII white space, A-Z lower-cased.
 
 Null and empty texts are a single end. Repeated rows are scored one by one; null ids count as the empty text for the
 held-out split. Without training documents the model is uniform over ids.
@@ -30,7 +29,8 @@ from .quality_classifier import held_out
 
 WINDOW, CONTEXT = 32, 8
 WIDTH, CLASSES, INPUTS = 16, 256, 4096
-FRACTION, SHARDS, EPOCHS = 16, 6, 2
+#: FRACTION: one part of the training documents in so many is fitted on; 1 means all.
+FRACTION, SHARDS, EPOCHS = 1, 6, 2
 SHARD_WORDS = 1 << 24
 #: Size of the model: pairs of ids kept for the last class, and what each pair's count is discounted by.
 PAIRS, DISCOUNT = 1 << 18, 0.75
@@ -318,10 +318,16 @@ def counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _own_parts(spark: SparkSession, n: int) -> list[int]:
+    """Of each of n partitions, a value that repartition(n, column) sends there: equal shards don't share a task by chance."""
+    found = spark.range(64 * n).selectExpr("cast(id as int) as v").groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("part")).agg(F.min("v").alias("v")).collect()  # n rows
+    return [r.v for r in found]
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, tokenizer: str, epochs: int = EPOCHS, shards: int = SHARDS, rate: float = 0.02) -> Attention:
     """Fits copies in `shards` tasks and averages them, each round; docs: text, h (a hash that deals and orders them)."""
     model = Attention(prior=prior)
-    docs = materialize(docs.select("text", "h", F.pmod("h", F.lit(shards)).cast("int").alias("shard")))
+    docs = materialize(docs.select("text", "h", F.get(F.array(*[F.lit(v) for v in _own_parts(docs.sparkSession, shards)]), F.pmod("h", F.lit(shards)).cast("int")).alias("shard")))
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, prior))  # bounded by the model's size
     kind = "step long, " + ", ".join(f"{k} array<double>" for k in Attention.NAMES)
 

@@ -150,6 +150,19 @@ def test_lm_base_scores(spark, sf_dir, rows, monkeypatch):
     assert all(-9 * r.n_tokens * 30 < r.score < 0 for r in got)
 
 
+def test_model_is_fitted_on_all_training_documents(spark, monkeypatch):
+    texts = sorted(f"text {i} of {i * i}" for i in range(50))
+    fitted, train = [], lm_scoring.train
+
+    def spy(docs, *args, **options):
+        fitted.extend(sorted(r.text for r in docs.collect()))
+        return train(docs, *args, **options)
+
+    monkeypatch.setattr(lm_scoring, "train", spy)
+    lm_scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert fitted == texts
+
+
 def test_model_scores_each_id_once_and_sums_to_one():
     rng = np.random.default_rng(0)
     net = lm_scoring.Attention(inputs=12, width=4, classes=6, prior=lm_scoring.prior_logits(rng.integers(0, 9, (12, 6)).astype(float)))
