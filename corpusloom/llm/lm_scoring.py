@@ -32,7 +32,8 @@ WIDTH, CLASSES, INPUTS = 16, 256, 4096
 #: FRACTION: one part of the training documents in so many is fitted on; 1 means all.
 FRACTION, SHARDS, EPOCHS = 1, 6, 2
 SHARD_WORDS = 1 << 24
-#: Size of the model: pairs of ids kept for the last class, and what each pair's count is discounted by.
+#: Pairs of ids within the last class whose counts are sent to every task (the others' are joined), and what each pair's
+#: count is discounted by.
 PAIRS, DISCOUNT = 1 << 18, 0.75
 START = 1 << 19  # stands before the first id of a text
 #: Frequent words whose counts are sent to every task; the others' counts are joined.
@@ -169,8 +170,8 @@ def scored(model: Attention, inputs: np.ndarray, target: np.ndarray, at: np.ndar
 class Vocabulary:
     """Classes, inputs and probabilities within the last class of all ids (the last id is the end), from corpus counts.
 
-    Within the last class, discounted counts of kept pairs are used; what the discount and the pairs not kept leave of
-    an id's total goes to the ids' own frequencies, so the probabilities after each id sum to one."""
+    Within the last class, discounted counts of pairs are used; what the discount leaves of an id's total goes to the
+    ids' own frequencies, so the probabilities after each id sum to one. Pairs that aren't held here are joined later."""
 
     def __init__(self, counts: np.ndarray):
         order = np.lexsort((np.arange(len(counts)), -counts))
@@ -183,21 +184,26 @@ class Vocabulary:
         self.share = np.where(rest, (counts + 1) / (counts + 1)[rest].sum(), 0.0)
         self.keep_pairs(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
 
-    def keep_pairs(self, keys: np.ndarray, n: np.ndarray, ids: np.ndarray, totals: np.ndarray) -> None:
-        """keys, n: pairs kept (id before << 20 | id) and their counts; ids, totals: counts of all pairs after an id."""
+    def keep_pairs(self, keys: np.ndarray, n: np.ndarray, ids: np.ndarray, totals: np.ndarray, given: np.ndarray | None = None, more: bool = False) -> None:
+        """keys, n: pairs held (id before << 20 | id) and their counts; ids, totals: counts of all pairs after an id, and
+        given: their discounted sums, where other pairs than those held count (more) too."""
+        self.more = more
         order = np.argsort(keys)
         self.keys, self.kept = keys[order], np.maximum(n[order] - DISCOUNT, 0)
         size = len(self.share) + 1
-        self.total, given = np.zeros(size), np.bincount(self._slot(self.keys >> 20), self.kept, size)
+        self.total, taken = np.zeros(size), np.bincount(self._slot(self.keys >> 20), self.kept, size)
         self.total[self._slot(ids)] = totals
-        self.left = np.where(self.total > 0, self.total - given, 1.0)
+        if given is not None:
+            taken[self._slot(ids)] = given
+        self.left = np.where(self.total > 0, self.total - taken, 1.0)
         self.total = np.where(self.total > 0, self.total, 1.0)
 
     def _slot(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids == START, len(self.share), ids)
 
     def within(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Log10 probability of each id within its class after the id before (START before the first)."""
+        """Log10 probability of each id within its class after the id before (START before the first); without what
+        counts of pairs that aren't held add."""
         out, at = np.zeros(len(ids)), np.flatnonzero(self.rest[ids])
         b, i = before[at].astype(np.int64), ids[at]
         slot, n = self._slot(b), np.zeros(len(at))
@@ -208,6 +214,17 @@ class Vocabulary:
         out[at] = np.log10((n + self.left[slot] * self.share[i]) / self.total[slot])
         return out
 
+    def far(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of pairs within the last class whose counts, if any, aren't held here."""
+        if not self.more:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.rest[ids])
+        key = before[at].astype(np.int64) << 20 | ids[at]
+        if len(self.keys):
+            new = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] != key
+            at, key = at[new], key[new]
+        return at, key
+
 
 def prior_logits(pairs: np.ndarray, smooth: float = 20.0) -> np.ndarray:
     """Log frequency of each class (column) after each input (row), smoothed by that of the class."""
@@ -216,11 +233,12 @@ def prior_logits(pairs: np.ndarray, smooth: float = 20.0) -> np.ndarray:
     return np.log((pairs + smooth * share) / (pairs.sum(1, keepdims=True) + smooth)).astype(np.float32)
 
 
-def pair_counts(found: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """How often a class follows an input; the vocabulary is given the frequent pairs of its last class.
+def pair_counts(found: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, DataFrame | None]:
+    """How often a class follows an input; and key and gain (log10, what its count adds to a place's score) of the pairs
+    of the last class that the vocabulary isn't given, if there are any.
 
-    found: pairs of ids, key = id before << 20 | id. Pairs are kept from the highest counts down to a limit that at most
-    PAIRS reach; the totals cover all."""
+    found: pairs of ids, key = id before << 20 | id. The vocabulary gets the pairs from the highest counts down to a
+    limit that at most PAIRS reach; the totals and what is given to pairs cover all."""
     spark = found.sparkSession
     ids = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(vocabulary.inp, vocabulary.cls, strict=True))] + [(START, INPUTS + 1, 0)], "id int, inp int, cls int")
     split = found.where("kind = 'pair'").selectExpr("key", "cast(key >> 20 as int) as a", "cast(key & 1048575 as int) as b", "n")
@@ -231,17 +249,24 @@ def pair_counts(found: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     out[got["inp"].to_numpy(), got["cls"].to_numpy()] = got["n"].to_numpy()
     rest = both.where(F.col("cls") == CLASSES - 1)
     level = F.floor(F.log2("n") * 8)
-    limit, seen = None, 0
+    limit, seen, more = None, 0, False
     for r in sorted(rest.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 8 * 63 rows
         seen += r["count"]
-        if seen > PAIRS:
+        if more := seen > PAIRS:
             break
         limit = r.level
-    if limit is not None:
-        kept = rest.where(level >= limit).select("key", "n").toArrow()  # at most PAIRS rows
-        totals = rest.groupBy("a").agg(F.sum("n").alias("n")).toArrow()  # at most the tokenizer's ids
-        vocabulary.keep_pairs(*(c.to_numpy().astype(t) for c, t in ((kept["key"], np.int64), (kept["n"], float), (totals["a"], np.int64), (totals["n"], float))))
-    return out
+    if not seen:
+        return out, None
+    kept = rest.where(F.lit(False) if limit is None else level >= limit).select("key", "n").toArrow()  # at most PAIRS rows
+    totals = rest.groupBy("a").agg(F.sum("n").alias("n"), F.sum(F.col("n") - DISCOUNT).alias("given")).toArrow()  # at most the tokenizer's ids
+    vocabulary.keep_pairs(*(c.to_numpy().astype(t) for c, t in ((kept["key"], np.int64), (kept["n"], float), (totals["a"], np.int64), (totals["n"], float), (totals["given"], float))), more)
+    if not more:
+        return out, None
+    after = totals["a"].to_numpy().astype(np.int64)
+    left = spark.createDataFrame(list(zip(after.tolist(), vocabulary.left[vocabulary._slot(after)].tolist(), strict=True)), "a int, l double")
+    share = spark.createDataFrame([(i, float(vocabulary.share[i])) for i in np.flatnonzero(vocabulary.rest).tolist()], "b int, s double")
+    rare = rest if limit is None else rest.where(level < limit)
+    return out, rare.join(F.broadcast(left), "a").join(F.broadcast(share), "b").select("key", F.log10(1 + (F.col("n") - DISCOUNT) / (F.col("l") * F.col("s"))).alias("gain"))
 
 
 def _with_ends(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -407,13 +432,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_when=N
     vocabulary = Vocabulary(id_counts)
     hashed = training.withColumn("h", F.xxhash64("key", "text"))
     sample = hashed.where(F.pmod("h", F.lit(FRACTION)) == 0).withColumn("h", F.shiftright("h", 16))
-    model = train(sample, vocabulary, prior_logits(pair_counts(found, vocabulary)), tokenizer, shards=max(SHARDS, n_tokens // SHARD_WORDS))
+    pairs, rare_pairs = pair_counts(found, vocabulary)
+    model = train(sample, vocabulary, prior_logits(pairs), tokenizer, shards=max(SHARDS, n_tokens // SHARD_WORDS))
     top = words.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     cut = (top[-1].c, top[-1].h) if len(top) == FREQUENT else None
     hot = np.array(sorted((r.h, r.c) for r in top), np.int64).reshape(-1, 2)
     shared = spark.sparkContext.broadcast((hot, vocabulary, model))  # bounded by FREQUENT and the model's size
     base = float(np.log10(n_tokens + n_distinct + 1))
-    names = ["uid", "key", "n_tokens", "n_known", "base", "score", "rest_h", "rest_n"]
+    names = ["uid", "key", "n_tokens", "n_known", "base", "score", "rest_h", "rest_n", "pair", "pair_n"]
 
     def run(batches):
         hot, vocabulary, model = shared.value
@@ -421,9 +447,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_when=N
         for b in batches:
             logs = []
             rows: list[tuple] = []
+            pair_rows: list[tuple] = []
             for hashes, index, at, ids, ids_at in _both(b.column(1), pieces):
                 ids, ids_at = _with_ends(ids, ids_at, pieces.size)
-                p = scored(model, _shifted(vocabulary.inp[ids], ids_at), vocabulary.cls[ids].astype(np.int64), ids_at) / np.log(10) + vocabulary.within(ids, _before(ids, ids_at))
+                before = _before(ids, ids_at)
+                p = scored(model, _shifted(vocabulary.inp[ids], ids_at), vocabulary.cls[ids].astype(np.int64), ids_at) / np.log(10) + vocabulary.within(ids, before)
+                place, keys = vocabulary.far(ids, before)
+                pair_rows += [np.unique(x, return_counts=True) for x in np.split(keys, np.searchsorted(place, ids_at[1:-1]))][: len(ids_at) - 1]
                 logs.append(np.add.reduceat(p, ids_at[:-1]) if len(ids_at) > 1 else p[:0])
                 place = np.minimum(np.searchsorted(hot[:, 0], hashes), max(len(hot) - 1, 0))
                 is_hot = hot[place, 0] == hashes if len(hot) else np.zeros(len(hashes), bool)
@@ -434,19 +464,23 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_when=N
                     far, n = np.unique(x[cold[x]], return_counts=True) if cut is not None else (x[:0], x[:0])
                     rows.append((len(x) + 1, int(known[x].sum()) + (end_count > 0), float(log[x].sum()) + float(np.log10(end_count + 1.0)), hashes[far], n.astype(np.int64)))
             logs = np.concatenate(logs) if logs else np.zeros(0)
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            n_tok, n_known, base_sum, far, n = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(rows))), b.column(0), n_tok, n_known, base_sum, pa.array(logs.astype(np.float64)), far, n], names=names)
+            cols = list(zip(*((*x, *y) for x, y in zip(rows, pair_rows, strict=True)), strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.float64(), *[pa.list_(pa.int64())] * 4)
+            n_tok, n_known, base_sum, far, n, pair, pair_n = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(rows))), b.column(0), n_tok, n_known, base_sum, pa.array(logs.astype(np.float64)), far, n, pair, pair_n], names=names)
             uid += len(rows)
 
     kind = docs.schema["key"].dataType.simpleString()
-    rows = materialize(docs.mapInArrow(run, f"uid long, key {kind}, n_tokens long, n_known long, base double, score double, rest_h array<long>, rest_n array<long>"))
+    rows = materialize(docs.mapInArrow(run, f"uid long, key {kind}, n_tokens long, n_known long, base double, score double, rest_h array<long>, rest_n array<long>, pair array<long>, pair_n array<long>"))
+    if rare_pairs is not None:
+        far = rows.select("uid", F.explode(F.arrays_zip("pair", "pair_n")).alias("r")).select("uid", F.col("r.pair").alias("key"), F.col("r.pair_n").alias("n")).join(rare_pairs, "key")
+        more = far.groupBy("uid").agg(F.sum(F.col("n") * F.col("gain")).alias("more"))
+        rows = rows.join(more, "uid", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
     if cut is not None:
         rare = words.where((F.col("c") < cut[0]) | (F.col("c") == cut[0]) & (F.col("h") > cut[1]))
         far = rows.select("uid", F.explode(F.arrays_zip("rest_h", "rest_n")).alias("r")).select("uid", F.col("r.rest_h").alias("h"), F.col("r.rest_n").alias("n")).join(rare, "h")
         more = far.groupBy("uid").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"))
-        rows = rows.drop("rest_h", "rest_n").join(more, "uid", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("known", F.lit(0)), "base": F.col("base") + F.coalesce("more", F.lit(0.0))})
+        rows = rows.drop("rest_h", "rest_n", "pair", "pair_n").join(more, "uid", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("known", F.lit(0)), "base": F.col("base") + F.coalesce("more", F.lit(0.0))})
     return rows.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * base).alias("base_score"), "score")
 
 

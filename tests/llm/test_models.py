@@ -163,6 +163,17 @@ def test_model_is_fitted_on_all_training_documents(spark, monkeypatch):
     assert fitted == texts
 
 
+@pytest.mark.parametrize("pairs", [0, 40])
+def test_all_pair_counts_reach_the_scores(spark, sf_dir, monkeypatch, pairs):
+    """How many pairs are broadcast changes nothing; with PAIRS = 0 not even the top level is."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    monkeypatch.setattr(lm_scoring, "train", lambda docs, vocabulary, prior, *a, **k: lm_scoring.Attention(prior=prior))
+    want = {r.doc_id: r.score for r in lm_scoring.score(docs).dropDuplicates(["doc_id"]).collect()}
+    monkeypatch.setattr(lm_scoring, "PAIRS", pairs)
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs).dropDuplicates(["doc_id"]).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 * abs(want[k]) for k in want)
+
+
 def test_model_scores_each_id_once_and_sums_to_one():
     rng = np.random.default_rng(0)
     net = lm_scoring.Attention(inputs=12, width=4, classes=6, prior=lm_scoring.prior_logits(rng.integers(0, 9, (12, 6)).astype(float)))
