@@ -170,7 +170,7 @@ def shard_marks(distinct: DataFrame, min_len: int, shard_bytes: int) -> DataFram
             sort only if it is long enough to repeat itself."""
             nonlocal held
             lone = len(group) == 1
-            if lone and group[0][3] < 2 and len(group[0][2]) < min_len + 2:
+            if lone and group[0][3] < 2 and len(group[0][2]) < min_len + 1:  # a single window
                 return
             sort = not (lone and group[0][3] > 1)
             chunk.extend((*g, sort) for g in group)

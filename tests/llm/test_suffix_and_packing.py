@@ -57,6 +57,15 @@ def test_removed_bytes_at_another_length_and_small_shards(spark):
     assert as_rows(substring_dedup.digests(df, spans)) == sorted(want, key=repr)
 
 
+def test_runs_of_one_byte_at_the_least_length(spark):
+    rng = random.Random(4)
+    texts = [c * n for c, n in zip("abc", (400, 401, 402))] + ["".join(rng.choices("qrstuvw", k=150)) + c * n + "".join(rng.choices("qrstuvw", k=150)) for c, n in zip("defghijkl", (400, 401, 402) * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, *x) for i, x in enumerate(brute_spans([t.encode() for t in texts], 400))]
+    assert [w[2] for w in want[:3]] == [0, 401, 402]
+    assert as_rows(substring_dedup.digests(df, substring_dedup.repeated_spans(df, "doc_id", "text"))) == sorted(want, key=repr)
+
+
 def test_cut_text_keeps_whole_characters(spark, sf_dir, rows):
     docs = table(spark, sf_dir, "documents")
     out = substring_dedup.dedup_substrings(docs)
