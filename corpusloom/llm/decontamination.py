@@ -3,8 +3,10 @@
 A window of a document with as many words as a benchmark item is a leak of it if their weighted similarity (of counts of
 shingles: sum of minima over sum of maxima) is `threshold` or more; shingles have `size` words, or all of a shorter
 item's.
-1. Only documents that share at least threshold of an item's shingles can hold such a window. Windows start where a
-   shared shingle stands in line with its place in the item.
+1. Only documents that share at least threshold of an item's shingles can hold such a window. A shared shingle at place p
+   of the document and q of the item is in line with a start at p - q. These are parted where they lie so far apart that
+   no window holds shingles of both sides; a window that starts before the least or after the greatest of such a cluster
+   loses no shared shingle when it moves there, so all starts from the least to the greatest are tried.
 2. Windows and items get SimHash fingerprints. These are cut into radius + 1 blocks, so that any two fingerprints within the
    radius agree in a block (multi-index); pairs that meet in a block and lie within the radius are candidates.
 3. The exact similarity of the candidates decides.
@@ -15,7 +17,7 @@ Repeated rows and null ids are judged by id and text, once for each distinct pai
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import let, materialize, table, words
@@ -80,11 +82,16 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         shingles = keyed.select("k", F.posexplode(let(words(F.col("t")), lambda w: shingle_hashes(w, m))).alias("p", "h"))
         hits = materialize(shingles.join(_sized(places, n_places), "h").select("k", "item_id", "n", "total", (F.col("p") - F.col("q")).alias("at")).groupBy("k", "item_id", "n", "total", "at").agg(F.count(F.lit(1)).alias("c")))
         enough = hits.groupBy("k", "item_id").agg(F.sum("c").alias("c"), F.max("total").alias("total")).where(F.col("c") >= threshold * F.col("total")).select("k", "item_id")
-        starts = materialize(hits.join(enough, ["k", "item_id"], "left_semi").groupBy("k").agg(F.collect_set(F.struct("n", "at")).alias("at")))
+        by_start = Window.partitionBy("k", "item_id", "n").orderBy("at")
+        apart = hits.join(enough, ["k", "item_id"], "left_semi").withColumn("cut", (F.col("at") - F.lag("at").over(by_start) > 2 * (F.col("total") - 1)).cast("int"))
+        clusters = apart.withColumn("cluster", F.sum(F.coalesce("cut", F.lit(0))).over(by_start)).groupBy("k", "item_id", "n", "cluster").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("c").alias("c"), F.max("total").alias("total")).where(F.col("c") >= threshold * F.col("total"))
+        starts = materialize(clusters.groupBy("k").agg(F.collect_set(F.struct("n", "lo", "hi")).alias("at")))
         n_docs = starts.count()
         held = keyed.join(_sized(starts, n_docs), "k").select("k", "key", "at", words(F.col("t")).alias("w")).dropDuplicates(["k"])
         hashed = held.select("k", "key", F.size("w").alias("len"), shingle_hashes(F.col("w"), m).alias("hs"), "at")
-        window = hashed.select("k", "key", "hs", F.explode(F.array_distinct(F.transform("at", lambda x: F.struct(x["n"].alias("n"), F.greatest(F.lit(0), F.least(x["at"], F.col("len") - x["n"])).alias("start"))))).alias("x"))
+        clamp = lambda at, n: F.greatest(F.lit(0), F.least(at, F.col("len") - n))
+        tried = F.flatten(F.transform("at", lambda x: F.transform(F.sequence(clamp(x["lo"], x["n"]), clamp(x["hi"], x["n"])), lambda s: F.struct(x["n"].alias("n"), s.alias("start")))))
+        window = hashed.select("k", "key", "hs", F.explode(F.array_distinct(tried)).alias("x"))
         window = window.select("k", "key", "x.n", "x.start", F.slice("hs", F.col("x.start") + 1, F.col("x.n") - m + 1).alias("hs"))
         window = materialize(window.withColumn("fp", simhash(F.col("hs"))))
         cut = window.select("k", "n", "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("k", "n", "start", "fp", "b.*")

@@ -70,6 +70,18 @@ def test_leaks(spark, labelled):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in bad)
 
 
+def test_leaks_between_aligned_starts(spark):
+    """The two aligned starts have a similarity of 0.774, the one between them 0.803."""
+    item = [f"i{i}" for i in range(59)]
+    copy = ["x", *item[1:29], "new", "words", *item[29:58], "y"]
+    rng = random.Random(6)
+    docs = [(0, " ".join(f"{prose(rng, 20)} {' '.join(copy)} {prose(rng, 20)}".split())), (1, " ".join([*copy, "far"] + ["f"] * 200 + item)), (2, " ".join(copy))]
+    items = [(0, " ".join(item))]
+    want = brute_leaks(docs, items)
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert want[0, 0] > 0.8 and {(r.doc_id, r.item_id): round(r.similarity, 6) for r in got} == want
+
+
 def test_all_fingerprints_within_the_radius_meet(spark):
     rng = random.Random(2)
     pairs = []
