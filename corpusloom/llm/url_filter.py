@@ -20,6 +20,8 @@ from .common import ascii_lower, materialize, table
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 DAMPING = 0.85
 ROUNDS = 9
+#: Share of all trust (and of all distrust) that may be unsettled when verdicts are read.
+TOLERANCE = 1e-9
 RATIO = 4.0
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?(?:https?:)?//([^/?#\"'\\s>]+)"
@@ -52,23 +54,34 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return links.union(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust and distrust after so many rounds; seeds: host, trust, distrust (numbers of pages)."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust and distrust after so many rounds, or (None) when what is still on its way is below the tolerance.
+
+    seeds: host, trust, distrust (numbers of pages)."""
 
     def shares(kind: str, src: str, dst: str) -> DataFrame:
         e = edges.select(F.lit(kind).alias("kind"), F.col(src).alias("host"), F.col(dst).alias("to"), "w")
         return e.join(e.groupBy("kind", "host").agg(F.sum("w").alias("all")), ["kind", "host"]).select("kind", "host", "to", (F.col("w") / F.col("all")).alias("p"))
 
-    moves = materialize(shares("trust", "src", "dst").union(shares("distrust", "dst", "src")))
+    moves = shares("trust", "src", "dst").union(shares("distrust", "dst", "src"))
     long = reduce(DataFrame.union, [seeds.select(F.lit(k).alias("kind"), "host", F.col(k).cast("double").alias("x")) for k in ("trust", "distrust")]).where("x > 0")
     total = {r.kind: r.x for r in long.groupBy("kind").agg(F.sum("x").alias("x")).collect()}  # two rows
     start = materialize(long.withColumn("x", F.col("x") / F.when(F.col("kind") == "trust", float(total.get("trust", 1))).otherwise(float(total.get("distrust", 1)))))
-    state = start
-    for i in range(rounds):
-        moved = state.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (damping * F.col("x") * F.col("p")).alias("x"))
-        state = moved.union(start.select("kind", "host", (1 - damping) * F.col("x"))).groupBy("kind", "host").agg(F.sum("x").alias("x"))
-        if i % 3 == 2:
+    # x: what has settled; d: what is still on its way, 1 - damping of which settles in a round, where it is (p is null)
+    moves = materialize(moves)
+    stay = moves.select("kind", "host").union(moves.select("kind", "to")).union(start.select("kind", "host")).distinct()
+    moves = materialize(moves.union(stay.select("kind", "host", "host", F.lit(None).cast("double"))))
+    state, i = start.select("kind", "host", F.lit(0.0).alias("x"), F.col("x").alias("d")), 0
+    while rounds is None or i < rounds:
+        x = F.when(F.col("p").isNull(), F.col("x") + (1 - damping) * F.col("d")).otherwise(0.0)
+        d = F.when(F.col("p").isNull(), 0.0).otherwise(damping * F.col("d") * F.col("p"))
+        state = state.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), x.alias("x"), d.alias("d")).groupBy("kind", "host").agg(F.sum("x").alias("x"), F.sum("d").alias("d"))
+        i += 1
+        if i % 6 == 0:
             state = materialize(state)
+            if rounds is None and (state.groupBy("kind").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0) < tolerance:
+                break
+    state = state.select("kind", "host", (F.col("x") + F.col("d")).alias("x"))
     value = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("x"))), F.lit(0.0)).alias(k)
     return state.groupBy("host").agg(value("trust"), value("distrust"))
 
@@ -79,7 +92,7 @@ def judge_urls(pages: DataFrame, url: str = "url", html: str = "html", rules: tu
     named = pages.drop("host", "path", "rule", "verdict", "trust", "distrust").withColumns({"host": host, "path": path}).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
     votes = lambda v: F.count_if(F.col("_r.verdict") == v)
     seeds = named.where("host != ''").groupBy("host").agg(votes("allow").alias("trust"), votes("block").alias("distrust"))
-    scores = propagate(materialize(host_edges(named, "host", html)), materialize(seeds))
+    scores = propagate(materialize(host_edges(named, "host", html)), materialize(seeds), rounds=None)
     scores = materialize(scores)
     even = 1.0 / max(1, scores.count())
     judged = scores.withColumn("bad", (F.col("distrust") >= ratio * F.col("trust")) & (F.col("distrust") > even))

@@ -132,6 +132,23 @@ def test_propagation(spark):
         assert seed.sum() and all(abs(got.get(n, (0, 0))[k] - x[i]) < 1e-12 for i, n in enumerate(names))
 
 
+def test_propagation_settles(spark):
+    """Against the solved linear system, on a chain of hosts that is longer than any fixed number of rounds reaches."""
+    n = 30
+    edges = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(n - 1)] + [(f"h{n - 1}", "h0", 1.0), ("h4", "h2", 2.0)]
+    seeds = [("h0", 3, 0), ("h5", 0, 1)]
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(seeds, "host string, trust long, distrust long"), rounds=None).collect()}
+    for k in (0, 1):
+        m, start = np.zeros((n, n)), np.zeros(n)
+        for edge in edges:
+            s, d = (int(x[1:]) for x in (edge[:2] if k == 0 else edge[1::-1]))
+            m[d, s] = edge[2]
+        m /= m.sum(0)
+        start[0 if k == 0 else 5] = 1
+        want = np.linalg.solve(np.eye(n) - url_filter.DAMPING * m, (1 - url_filter.DAMPING) * start)
+        assert all(abs(got[f"h{i}"][k] - want[i]) < 1e-8 for i in range(n))
+
+
 def test_rule_ensemble_on_held_out_rows():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4))
