@@ -75,7 +75,7 @@ def partner(vectors: DataFrame) -> DataFrame:
     return vectors.crossJoin(n).select("vec_id", ((F.col("vec_id") * 7 + 3) % F.col("n")).alias("j")).join(text, "j").drop("j")
 
 
-def hard_negatives(vectors: DataFrame, texts: DataFrame, k: int = 20, low: float = 0.15, tiers: tuple = (0.2, 0.3, 0.4)) -> DataFrame:
+def hard_negatives(vectors: DataFrame, texts: DataFrame, k: int = 100, low: float = 0.15, tiers: tuple = (0.2, 0.3, 0.4)) -> DataFrame:
     """The visually nearest of k neighbours with another goal whose text similarity passes the first threshold that any passes."""
     near = knn(vectors, k, other_goal="label", floor=low).select("vec_id", "other", "rank")
     x = near.join(texts.withColumnRenamed("text", "t1"), "vec_id").join(texts.select(F.col("vec_id").alias("other"), F.col("text").alias("t2")), "other")
