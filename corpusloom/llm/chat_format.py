@@ -1,7 +1,9 @@
 """Chat formatting with a grammar round trip.
 
-A conversation is rendered by a template, reparsed by a deterministic parser and compared with its source; turns that
-don't come back equal are escaped further, until all do. A backslash takes the next character literally.
+A conversation is rendered by a template that escapes the control strings inside texts, reparsed by a deterministic parser
+and compared with its source; turns that don't come back equal are escaped further, until all do. A backslash takes the
+next character literally; one stands before each backslash and before the last character of each control string, also
+of overlapping ones, so no text holds a control string as it is.
 
     system     <<SYS>> text <</SYS>>
     user       [INST] text [/INST]
@@ -27,14 +29,14 @@ OPEN = {"system": "<<SYS>> ", "user": "[INST] ", "assistant": " "}
 CLOSE = {"system": " <</SYS>>", "user": " [/INST]", "assistant": " </s>"}
 OTHER = " <|end|>"
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>", "<|end|>")
-_CONTROL = re.compile(r"\\|" + "|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)))
+_CONTROL = re.compile(r"(\\" + "".join(f"|(?<={re.escape(c[:-1])}){re.escape(c[-1])}" for c in CONTROL) + ")")
 _ALL = re.compile(r"([^0-9A-Za-z])", re.S)
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 
 
 def escape(text: str, level: int) -> str:
-    """0: as it is; 1: backslashes and control strings; 2: all but ASCII letters and digits."""
-    return text if level == 0 else _CONTROL.sub(lambda m: "\\" + m[0], text) if level == 1 else _ALL.sub(r"\\\1", text)
+    """1: backslashes and the ends of control strings; 2: all but ASCII letters and digits."""
+    return (_CONTROL if level == 1 else _ALL).sub(r"\\\1", text)
 
 
 def render_turn(role: str, text: str, level: int) -> tuple[str, int, int]:
@@ -78,7 +80,7 @@ def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int
     """The formatted conversation and the spans (of code points) of the assistant's bodies, which bear the loss."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        for level in range(3):
+        for level in (1, 2):
             piece, start, end = render_turn(role, text, level)
             try:
                 # the grammar has no state between turns, so a conversation comes back if each of its turns does

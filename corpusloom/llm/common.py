@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 WS = "[\\x20\\x09-\\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
-_scratch: list[str] = []
+_made = threading.local()
 _local: list[str] = []
 
 
@@ -37,11 +39,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where none is set and the master is local."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="corpusloom-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -53,12 +65,27 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.append(path)
+    _scratch().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """materialize(make()), after which the tables that make() wrote on the way are deleted."""
+    before = len(_scratch())
+    out = materialize(make())
+    release(spark, _scratch()[before:-1])
+    return out
+
+
+def _scratch() -> list[str]:
+    """Tables that this thread has written and not deleted, in order."""
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
 def scratch() -> list[str]:
-    return list(_scratch)
+    return list(_scratch())
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
@@ -66,8 +93,8 @@ def release(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        if p in _scratch:
-            _scratch.remove(p)
+        if p in _scratch():
+            _scratch().remove(p)
 
 
 def parts(spark: SparkSession) -> int:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, table, words
+from .common import fresh, let, materialize, settle, table, words
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -110,10 +110,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold a leak."""
-    bad = materialize(leaks(docs, items, key, text).select("k").distinct())
-    return docs.withColumn("_k", F.xxhash64(F.col(key), F.col(text))).join(_sized(bad.withColumnRenamed("k", "_k"), bad.count()), "_k", "left_anti").select(*docs.columns)
+    bad = settle(docs.sparkSession, lambda: leaks(docs, items, key, text).select("k").distinct())
+    k = fresh(docs, "k")
+    return docs.withColumn(k, F.xxhash64(F.col(key), F.col(text))).join(_sized(bad.withColumnRenamed("k", k), bad.count()), k, "left_anti").select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = settle(spark, lambda: leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "item_id", "start", "n_words", "distance", F.round("similarity", 6).alias("similarity"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import subword
-from .common import materialize, parts, table
+from .common import fresh, materialize, parts, table
 
 CAPACITY = 4096
 END = 1
@@ -99,19 +99,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pack(found: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """found with sequence_id and offset; needs the columns of pieces()."""
-    spark = found.sparkSession
-    salt = F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(max(16, parts(spark))))
-    salted = found.withColumn("salt", salt)
-    by = materialize(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))  # at most capacity * salts rows
+    """found with sequence_id and offset (which replace columns of these names); needs the columns of pieces(). Rows that
+    agree in key, piece and ids_crc32 share a salt."""
+    spark, found = found.sparkSession, found.drop("sequence_id", "offset")
+    salt, at_rank, before = (fresh(found, x) for x in ("salt", "rank", "before"))
+    salted = found.withColumn(salt, F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(max(16, parts(spark)))))
+    by = materialize(salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")))  # at most capacity * salts rows
     counts = {r.length: r.n for r in by.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     slots = np.array(plan(counts, capacity), np.int64).reshape(-1, 5)
     order = np.lexsort((slots[:, 1], slots[:, 0]))
     shared = spark.sparkContext.broadcast(slots[order])  # bounded by the number of lengths, not of documents
-    w = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by.select("length", "salt", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy(key, "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("rank", rank).join(offsets, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    w = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by.select("length", salt, F.coalesce(F.sum("n").over(w), F.lit(0)).alias(before))
+    rank = F.row_number().over(Window.partitionBy("length", salt).orderBy(key, "piece", "ids_crc32")) - 1
+    ranked = salted.withColumn(at_rank, rank).join(offsets, ["length", salt]).withColumn(at_rank, F.col(at_rank) + F.col(before))
     names = found.columns
     out = T.StructType([*found.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -119,11 +120,11 @@ def pack(found: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
         s = shared.value
         keys = s[:, 0] << 44 | s[:, 1]
         for b in batches:
-            length, at = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+            length, at = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", at_rank))
             hit = s[np.searchsorted(keys, length << 44 | at, "right") - 1] if len(at) else s[:0]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(hit[:, 3] + at - hit[:, 1]), pa.array(hit[:, 4])], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "rank").mapInArrow(run, out)
+    return ranked.select(*names, at_rank).mapInArrow(run, out)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, words
+from .common import fresh, let, table, words
 
 #: Frequent function words of English, French, Spanish and German (fixed values).
 STOP_WORDS = (
@@ -69,9 +69,10 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter(x, lambda v: F.rtrim(v).endswith("...") | F.rtrim(v).endswith("…"))).cast("long").alias("n_ellipsis"),
     ))
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
-    df = docs.withColumns({"_w": stats, "_l": by_line, "n_symbols": count("[#*$%&|<>]"), "n_exclaimed": count("![\\x20\\x09-\\x0D]|!$"), "n_upper": count("(?<![^\\x20\\x09-\\x0D])\\p{Lu}{2}[^\\p{Ll}\\x20\\x09-\\x0D]*(?![^\\x20\\x09-\\x0D])")})
-    flat = {c: F.col(f"_w.{c}") for c in ("n_words", "word_chars", "n_repeat_words", "n_stop")} | {c: F.col(f"_l.{c}") for c in ("n_lines", "n_dup_lines", "n_ellipsis")}
-    return df.withColumns(flat).drop("_w", "_l")
+    w, by = fresh(docs, "by_word"), fresh(docs, "by_line")
+    df = docs.withColumns({w: stats, by: by_line, "n_symbols": count("[#*$%&|<>]"), "n_exclaimed": count("![\\x20\\x09-\\x0D]|!$"), "n_upper": count("(?<![^\\x20\\x09-\\x0D])\\p{Lu}{2}[^\\p{Ll}\\x20\\x09-\\x0D]*(?![^\\x20\\x09-\\x0D])")})
+    flat = {c: F.col(w)[c] for c in ("n_words", "word_chars", "n_repeat_words", "n_stop")} | {c: F.col(by)[c] for c in ("n_lines", "n_dup_lines", "n_ellipsis")}
+    return df.withColumns(flat).drop(w, by)
 
 
 def rule_column(rule: tuple) -> Column:
@@ -94,7 +95,8 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds: tuple = THRES
 def passing(judged: DataFrame) -> DataFrame:
     """The kept rows. A filter moves below projections and would compute the statistics once for each rule that reads them;
     it doesn't move below a column that isn't deterministic."""
-    return judged.withColumn("_once", F.rand()).where("kept and _once >= 0").drop("_once")
+    once = fresh(judged, "once")
+    return judged.withColumn(once, F.rand()).where(F.col("kept") & (F.col(once) >= 0)).drop(once)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

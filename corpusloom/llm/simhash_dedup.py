@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import fresh, materialize, release, scratch, settle, table
 
 RADIUS = 2
 BUCKET = 4096
@@ -205,15 +205,20 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, partitions
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): v is the smallest node that u reaches; nodes without a smaller one are left out. Alternating large and small stars."""
-    edges = materialize(edges)
-    mark = None
-    while True:
+    spark = edges.sparkSession
+    edges, mark = materialize(edges), None
+
+    def stars() -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = materialize(small)
+        return large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+
+    while True:
+        last = scratch()[-1:]
+        edges = materialize(stars())
+        release(spark, last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges
@@ -221,23 +226,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without its text, with fp, root (a fingerprint that names the component) and component_id (its smallest key)."""
-    rows = materialize(with_fingerprints(docs, text))
-    classes = materialize(rows.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "root").join(least, "root"), "fp")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the smallest doc_id."""
-    names = docs.columns
-    row_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    found = near_duplicates(docs.select("doc_id", row_hash.alias("h"), "text"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("d"), F.min_by("h", F.xxhash64("doc_id", "h")).alias("h")).select("d", "h")
+    """docs without its text, with fp, root (a fingerprint that names the component) and component_id (its smallest key).
+
+    A column of the input that has the name of a computed one is replaced."""
+    rest = [c for c in docs.columns if c != text and c.lower() not in ("fp", "root", "component_id")]
+
+    def found() -> DataFrame:
+        rows = materialize(with_fingerprints(docs.select(F.struct(*rest).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))))
+        classes = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")))
+        roots = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+        named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        return rows.join(named.select("fp", "root").join(least, "root"), "fp").select("row.*", "fp", "root", "component_id")
+
+    return settle(docs.sparkSession, found)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component: that of the smallest key."""
+    row_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    found = near_duplicates(docs.select(F.col(key).alias("d"), row_hash.alias("h"), F.col(text).alias("text")), "d")
+    kept = found.where(F.col("d").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("d").alias("d"), F.min_by("h", F.xxhash64("d", "h")).alias("h")).select("d", "h")
+    h, d = fresh(docs, "h"), fresh(docs, "d")
     # one row per (d, h): repeated rows of docs collapse here, after the join has put them together
-    return docs.withColumn("_h", row_hash).join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("h")), "left_semi").dropDuplicates(["doc_id", "_h"]).select(*names)
+    held, kept = docs.withColumn(h, row_hash), kept.distinct().toDF(d, h + "_")
+    return held.join(kept, F.col(key).eqNullSafe(F.col(d)) & (F.col(h) == F.col(h + "_")), "left_semi").dropDuplicates([key, h]).select(*docs.columns)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

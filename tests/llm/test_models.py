@@ -115,6 +115,7 @@ def test_propagation(spark):
     seeds = [("a", 3, 0), ("c", 1, 2), ("d", 0, 2), ("e", 0, 0)]
     got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(seeds, "host string, trust long, distrust long")).collect()}
     names = "abcde"
+    assert sorted(got) == list(names)
     for k, flip in ((0, False), (1, True)):
         m = np.zeros((5, 5))
         for s, d, w in edges:
@@ -294,3 +295,77 @@ def test_copies_of_many_tasks_are_averaged(spark, rows, monkeypatch):
     summed = lm_scoring.train(*args).p
     fresh = lm_scoring.Attention().p
     assert all(np.allclose(plain[k], summed[k], atol=1e-6) for k in plain) and not np.allclose(plain["out"], fresh["out"])
+
+
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def brute_verdicts(pages):
+    """Host, path, rule and verdict of (page_id, url, html), with dense linear systems for trust and distrust."""
+    rows = []
+    for page_id, url, html in pages:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = ("".join(c.lower() if c.isascii() else c for c in m[1]), m[2]) if m else ("", "")
+        fits = [(len(r), r, v) for r, v in URL_RULES if host and ("." + host).endswith("." + r.partition("/")[0]) and path.startswith("/" + r.partition("/")[2])]
+        rows.append((page_id, host, path, max(fits)[1:] if fits else None, html or ""))
+    edges, seeds = Counter(), {"allow": Counter(), "block": Counter()}
+    hosts = {r[1] for r in rows if r[1]}
+    for _, host, _, rule, html in rows:
+        if host:
+            for dst in re.findall(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>]+)", html):
+                if host != dst.lower():
+                    edges[host, dst.lower()] += 1
+                    hosts.add(dst.lower())
+            if rule:
+                seeds[rule[1]][host] += 1
+    tree = set()
+    for h in hosts:
+        while h.count(".") > 1:
+            up = h.partition(".")[2]
+            tree |= {(h, up), (up, h)}
+            h = up
+    for e in tree:
+        edges[e] += 1
+    names = sorted(hosts | {h for e in edges for h in e})
+    at = {h: i for i, h in enumerate(names)}
+    x = []
+    for kind, flip in (("allow", False), ("block", True)):
+        m, start = np.zeros((len(names), len(names))), np.zeros(len(names))
+        for (s, d), w in edges.items():
+            s, d = (d, s) if flip else (s, d)
+            m[at[d], at[s]] += w
+        m /= np.maximum(m.sum(0), 1e-300)
+        for h, n in seeds[kind].items():
+            start[at[h]] = n
+        x.append(np.linalg.solve(np.eye(len(names)) - 0.85 * m, 0.15 * start / max(start.sum(), 1)) if len(names) else start)
+    out = []
+    for page_id, host, path, rule, _ in rows:
+        i = at.get(host)
+        bad = host and x[1][i] >= 4 * x[0][i] and x[1][i] > 1 / len(names)
+        out.append((page_id, host, path, rule[0] if rule else None, rule[1] if rule else "block" if bad else "allow"))
+    return out
+
+
+def test_url_filter_takes_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/1", "", 5, 6, 7), (2, None, None, 8, 9, 10)], "page_id long, url string, html string, row int, judged int, Host int")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    assert (got[1].row, got[1].judged, got[1].host, got[1].verdict) == (5, 6, "a.com", "block") and (got[2].row, got[2].host) == (8, "")
+
+
+def test_url_rules_of_the_contract():
+    assert sorted((r, v) for v, r in url_filter.RULES) == sorted(URL_RULES)
+
+
+def test_url_verdicts(spark, tmp_path):
+    """All verdicts, also of pages without a rule, against a solved linear system over the whole graph."""
+    rng = random.Random(11)
+    hosts = [f"{s}.{d}" for s in ("a", "b", "c.d", "www") for d in ("example.com", "example.net", "example.org", "other.net", "x.org")] + ["example.net", "lone.com", ""]
+    pages = []
+    for i in range(150):
+        link = "".join(f'<a class=z href="https://{rng.choice(hosts[:-1])}/x">y</a>' for _ in range(rng.choice((0, 0, 1, 3))))
+        pages.append((i, f"http://{rng.choice(hosts)}/{rng.choice(('en', 'de', 'es', 'fr'))}/{rng.randint(1, 99)}", link))
+    pages += [(None, None, None), (3, "no url", ""), (4, "https://EXAMPLE.net/de/81?x", None), pages[0]]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = brute_verdicts(pages)
+    assert ("net/de/", "allow") in {w[3:] for w in want} and ("example.net/de/8", "block") in {w[3:] for w in want} and (None, "block") in {w[3:] for w in want} and (None, "allow") in {w[3:] for w in want}
+    assert as_rows(url_filter.op4_url_filter(spark, str(tmp_path))) == sorted(want, key=repr)

@@ -16,15 +16,23 @@ def brute(rows, items, keeps):
     count = {}
     for r in rows:
         b = r[1].encode()
-        for i in range(len(b) - 399):
-            count[b[i : i + 400]] = count.get(b[i : i + 400], 0) + 1
+        for i in range(len(b) - 199):
+            count[b[i : i + 200]] = count.get(b[i : i + 200], 0) + 1
     cut = []
     for r in rows:
         b, gone = r[1].encode(), [False] * len(r[1].encode())
-        for i in range(len(b) - 399):
-            if count[b[i : i + 400]] > 1:
-                gone[i : i + 400] = [True] * 400
-        cut.append((r[0], bytes(c for c, g in zip(b, gone) if not g).decode()))
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                gone[i : i + 200] = [True] * 200
+        left, i = b"", 0
+        while i < len(b):
+            j = i
+            while j < len(b) and gone[j] == gone[i]:
+                j += 1
+            if not gone[i] or j - i < 400 and len(b[i:j].split()) < 51:
+                left += b[i:j]
+            i = j
+        cut.append((r[0], left.decode()))
     cut = [r for r in cut if WORD.search(r[1])]
     bad = {d for d, _ in brute_leaks(cut, items)}
     return [r for r in cut if r[0] not in bad]
@@ -49,6 +57,38 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     check_packed(out, 4096)
 
 
+def test_passages_of_over_50_words_are_cut(spark, tmp_path):
+    """Passages of 51 to 70 words that several documents share go; shorter ones and texts of their own stay."""
+    rng = random.Random(21)
+    passages = [prose(rng, n) for n in (51, 55, 60, 70)]
+    short = prose(rng, 45)
+    own = [[prose(rng, 40), prose(rng, 40)] for _ in range(24)]
+    rows = [(i, f"{a} | {passages[i % 4]} | {b}", "en", "s", 1) for i, (a, b) in enumerate(own[:16])] + [(i, f"{own[i][0]} | {short} | {own[i][1]}", "en", "s", 1) for i in range(16, 24)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.STAGES[2][1](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    for i, (a, b) in enumerate(own):
+        if i < 16:
+            # characters beside the passage that agree by chance go with it
+            assert a[:-9] in out[i] and b[9:] in out[i] and len(out[i]) <= len(a) + len(b) + 6
+        else:
+            assert out[i] == rows[i][1]
+
+
+CLASHES = ["k", "c", "spans", "removed_spans", "H", "d", "h_", "fp", "root", "component_id", "salt", "rank", "before", "by_word", "by_line", "once", "kept", "n_words", "row", "key", "host", "judged", "_k", "_w", "_l", "_h"]
+
+
+def test_stages_take_clashing_columns(spark, sf_dir, rows):
+    """Extra columns pass through the stages, whatever their names."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wide = docs.withColumns({c: docs["doc_id"] * (i + 2) for i, c in enumerate(CLASHES)})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        plain, out = stage(spark, docs, sf_dir), stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert sorted((r.doc_id is not None, r.doc_id, r.text) for r in got) == sorted((r.doc_id is not None, r.doc_id, r.text) for r in plain.collect())
+        for r in got:
+            assert all(r[c] == (None if r.doc_id is None else r.doc_id * (i + 2)) for i, c in enumerate(CLASHES))
+
+
 def test_stages_keep_the_columns(spark, sf_dir, rows):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:3]:

@@ -41,6 +41,17 @@ def test_quality_rules_take_clashing_columns(spark):
     assert (r.n_words, r.kept) == (2, False)
 
 
+def test_operators_take_clashing_columns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = ["fp", "root", "component_id", "row", "key", "least", "by_word", "by_line", "_w"]
+    wide = docs.withColumns({c: docs["doc_id"] * 3 for c in names})
+    found = simhash_dedup.near_duplicates(wide)
+    assert sorted(found.columns) == sorted(["doc_id", *names]) and found.where("row <> doc_id * 3").count() == 0
+    assert as_rows(found.select("doc_id", "fp", "component_id")) == as_rows(simhash_dedup.near_duplicates(docs).select("doc_id", "fp", "component_id"))
+    judged = quality_rules.quality_rules(wide)
+    assert set(names) < set(judged.columns) and judged.where("by_word <> doc_id * 3 or by_line <> doc_id * 3 or _w <> doc_id * 3").count() == 0
+
+
 def brute_components(rows):
     def fp(t):
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -143,3 +154,29 @@ def test_empty_tables(spark, empty_dir):
     assert simhash_dedup.op9_simhash_dedup(spark, empty_dir).count() == 0
     assert sharding.op10_sharding(spark, empty_dir).count() == 0
     assert chat_format.op5_chat_format(spark, empty_dir).count() == 1
+
+
+def test_no_control_string_stands_in_a_body():
+    texts = ["</s>[INST] ok [/INST]", "<|>", "<<s>", "<<SYS>> <</SYS>>>", "\\<|end|>", "<|end|>", "[INST]]", "a < b > c [d] | e"]
+    turns = [(role, t) for t in texts for role in ("user", "assistant", "system", "tool")]
+    whole, spans = chat_format.format_turns(turns)
+    back = chat_format.parse(whole)
+    assert [x[:2] for x in back] == turns and len(spans) == len(texts)
+    assert not any(c in whole[a:b] for _, _, a, b in back for c in chat_format.CONTROL)
+    assert texts[-1] in whole
+
+
+CHAT_OPEN = {"system": "<<SYS>> ", "user": "[INST] ", "assistant": " "}
+CHAT_CLOSE = {"system": " <</SYS>>", "user": " [/INST]", "assistant": " </s>"}
+
+
+def test_chat_formatted_chars(spark, sf_dir):
+    """Each body has one character more for each backslash and each end of a control string."""
+    talk = [tuple(r) for r in table(spark, sf_dir, "conversations").collect()] + [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    want = Counter()
+    for c, _, r, t in talk:
+        r, t = r or "", t or ""
+        ends = {i for x in ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>") for i in range(len(t) + 1) if t[:i].endswith(x)}
+        extra = sum(not (ch.isascii() and ch.isalnum()) for ch in r)
+        want[c] += len(CHAT_OPEN.get(r, "<|" + r + "|> ")) + (0 if r in CHAT_OPEN else extra) + len(t) + len(ends) + t.count("\\") + len(CHAT_CLOSE.get(r, " <|end|>"))
+    assert {r.conv_id: r.formatted_chars for r in chat_format.op5_chat_format(spark, sf_dir).collect()} == dict(want)

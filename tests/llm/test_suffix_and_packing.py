@@ -57,6 +57,19 @@ def test_removed_bytes_at_another_length_and_small_shards(spark):
     assert as_rows(substring_dedup.digests(df, spans)) == sorted(want, key=repr)
 
 
+def test_hot_groups_are_cut_into_windows(spark):
+    """A passage that many texts share in other surroundings; also exact copies and a text that repeats itself."""
+    rng = random.Random(17)
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, long = own(30), own(60)
+    texts = [own(40) + passage + own(40) for _ in range(40)] + [own(20) + long + own(20) for _ in range(30)] + [own(10) + passage + own(9)] * 5 + [passage * 3, "x" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(((i, *x) for i, x in enumerate(brute_spans([t.encode() for t in texts], 24))), key=repr)
+    for hot in (2, 10**6):
+        spans = substring_dedup.repeated_spans(df, "doc_id", "text", min_len=24, gram=6, run=7, shard_bytes=200, hot=hot)
+        assert as_rows(substring_dedup.digests(df, spans)) == want
+
+
 def test_runs_of_one_byte_at_the_least_length(spark):
     rng = random.Random(4)
     texts = [c * n for c, n in zip("abc", (400, 401, 402))] + ["".join(rng.choices("qrstuvw", k=150)) + c * n + "".join(rng.choices("qrstuvw", k=150)) for c, n in zip("defghijkl", (400, 401, 402) * 3)]
@@ -106,6 +119,16 @@ def test_packing(spark, sf_dir, rows):
     assert check_packed(got, 4096) <= -(-sum(w[3] for w in want) // 4096) + 1
 
 
+def test_packing_takes_clashing_columns(spark, sf_dir):
+    found = packing.pieces(table(spark, sf_dir, "documents"))
+    names = ["salt", "rank", "before", "n", "sequence_id", "offset", "SALT_"]
+    out = packing.pack(found.withColumns({c: found["length"] * (i + 2) for i, c in enumerate(names)}))
+    assert sorted(out.columns) == sorted([*found.columns, *names])
+    got = out.collect()
+    assert len(got) == found.count() and all(r.salt == r.length * 2 and r["SALT_"] == r.length * 8 for r in got)
+    check_packed(got, 4096)
+
+
 def test_plan_fills_every_slot_once():
     rng = random.Random(2)
     for capacity in (5, 64):
