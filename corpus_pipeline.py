@@ -1,13 +1,13 @@
 """Corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect.
 
 quality_rules drops rejected documents; simhash_dedup keeps the document of the smallest id of each group of near copies;
-suffix_array_dedup cuts strings of 400 bytes or more that stand elsewhere too (characters stay whole) and drops documents
-without a word left; decontamination drops documents that hold a benchmark item; best_fit_packing packs what is left.
+suffix_array_dedup cuts what is covered by strings of 200 bytes that stand elsewhere too, where that makes a stretch of over
+50 words or of 400 bytes (characters stay whole), and drops documents without a word left; 51 words have 200 bytes if they
+average 3 letters; decontamination drops documents that hold a benchmark item; best_fit_packing packs what is left.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,29 +16,22 @@ from pyspark.sql import functions as F
 from corpusloom import share_code
 from corpusloom.llm import common, decontamination, packing, quality_rules, simhash_dedup, substring_dedup
 
-_made: list[str] = []
+#: Repeated passages that are cut: of so many words, found as strings of so many bytes.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
 
 
 def _stage(run):
-    """A stage deletes the tables that the one before it wrote on the way, as that one's result has been written."""
-
     @wraps(run)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        first = run is _quality
-        if not first:
-            common.release(spark, _made)
-        _made.clear()
         share_code(spark)
-        before = set(common.scratch())
-        out = run(spark, docs, sf_dir)
-        _made.extend(x for x in common.scratch() if x not in before)
-        return out
+        return run(spark, docs, sf_dir)
 
     return stage
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.passing(quality_rules.quality_rules(docs)).select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return quality_rules.passing(quality_rules.quality_rules(held)).select("row.*")
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +39,7 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.dedup_substrings(docs).withColumn("n_chars", F.length("text").cast("long"))
+    cut = substring_dedup.dedup_substrings(docs, min_words=PASSAGE_WORDS, min_bytes=substring_dedup.MIN_LEN, min_len=PASSAGE_BYTES).withColumn("n_chars", F.length("text").cast("long"))
     return cut.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
 
 
@@ -72,14 +65,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; each result but the last is written to the shared folder and reread."""
-    docs, last = common.table(spark, sf_dir, "documents"), None
+    docs, last = common.table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
+        made = len(common.scratch())
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return out
-        path = f"{common.scratch_dir(spark)}/corpusloom-stage-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        if last:
-            common.release(spark, [last])
-        docs, last = spark.read.schema(out.schema).parquet(path), path
+        docs = common.materialize(out)
+        written = common.scratch()[made:]
+        common.release(spark, [*last, *written[:-1]])  # the input of the stage, and what it wrote on the way
+        last = written[-1:]
     return docs
