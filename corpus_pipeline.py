@@ -39,8 +39,10 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.dedup_substrings(docs, min_words=PASSAGE_WORDS, min_bytes=substring_dedup.MIN_LEN, min_len=PASSAGE_BYTES).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+    held = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
+    cut = substring_dedup.dedup_substrings(held, min_words=PASSAGE_WORDS, min_bytes=substring_dedup.MIN_LEN, min_len=PASSAGE_BYTES)
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*(columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
