@@ -76,12 +76,12 @@ def test_passages_of_over_50_words_are_cut(spark, tmp_path):
 CLASHES = ["k", "c", "spans", "removed_spans", "H", "d", "h_", "fp", "root", "component_id", "salt", "rank", "before", "by_word", "by_line", "once", "kept", "n_words", "row", "key", "host", "judged", "_k", "_w", "_l", "_h"]
 
 
-def test_stages_take_clashing_columns(spark, sf_dir, rows):
+def test_stages_take_clashing_columns(spark, sf_dir, empty_dir):
     """Extra columns pass through the stages, whatever their names."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     wide = docs.withColumns({c: docs["doc_id"] * (i + 2) for i, c in enumerate(CLASHES)})
     for _, stage in corpus_pipeline.STAGES[:4]:
-        plain, out = stage(spark, docs, sf_dir), stage(spark, wide, sf_dir)
+        plain, out = stage(spark, docs, empty_dir), stage(spark, wide, empty_dir)
         assert out.columns == wide.columns
         got = out.collect()
         assert sorted((r.doc_id is not None, r.doc_id, r.text) for r in got) == sorted((r.doc_id is not None, r.doc_id, r.text) for r in plain.collect())
