@@ -136,10 +136,12 @@ def score_column(model: tuple[float, list[tuple[Rule, float]]], names: list[str]
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str, sample: int = SAMPLE) -> tuple[float, list[tuple[Rule, float]]]:
-    """labels: doc_id and y (0 or 1). Documents of at most `sample` labels are read for it."""
+    """labels: doc_id and y (0 or 1). Documents of at most `sample` labels are read for it; of rows that share an id, the one
+    with the least statistics is fitted on."""
     chosen = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = with_features(docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id"), text).select("doc_id", "y", *FEATURES).collect()  # sample rows of numbers
-    rows = sorted(map(tuple, rows))[: 2 * sample]
+    found = with_features(docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id"), text)
+    one = found.groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("r"))
+    rows = sorted(map(tuple, one.select("doc_id", "r.*").collect()))  # at most `sample` rows of numbers
     data = np.array([r[1:] for r in rows], float).reshape(-1, len(FEATURES) + 1)
     return fit_rules(data[:, 1:], data[:, 0])
 

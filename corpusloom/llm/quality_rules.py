@@ -19,6 +19,8 @@ STOP_WORDS = (
     "der die das und zu den von ist mit sich auf für nicht ein eine im dem"
 ).split()
 
+SYMBOLS = "#*$%&|<>"
+
 #: name, numerator, denominator, comparison, threshold: a document is rejected when the comparison holds.
 THRESHOLDS = (
     ("min_words", "n_words", None, "<", 50),
@@ -62,6 +64,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         repeated_words(w).alias("n_repeat_words"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop"),
+        F.size(F.filter(w, lambda x: x.endswith("!"))).cast("long").alias("n_exclaimed"),
     ))
     by_line = let(F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.struct(
         F.size(x).cast("long").alias("n_lines"),
@@ -70,8 +73,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     ))
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
     w, by = fresh(docs, "by_word"), fresh(docs, "by_line")
-    df = docs.withColumns({w: stats, by: by_line, "n_symbols": count("[#*$%&|<>]"), "n_exclaimed": count("![\\x20\\x09-\\x0D]|!$"), "n_upper": count("(?<![^\\x20\\x09-\\x0D])\\p{Lu}{2}[^\\p{Ll}\\x20\\x09-\\x0D]*(?![^\\x20\\x09-\\x0D])")})
-    flat = {c: F.col(w)[c] for c in ("n_words", "word_chars", "n_repeat_words", "n_stop")} | {c: F.col(by)[c] for c in ("n_lines", "n_dup_lines", "n_ellipsis")}
+    df = docs.withColumns({w: stats, by: by_line, "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"), "n_upper": count("(?<![^\\x20\\x09-\\x0D])\\p{Lu}{2}[^\\p{Ll}\\x20\\x09-\\x0D]*(?![^\\x20\\x09-\\x0D])")})
+    flat = {c: F.col(w)[c] for c in ("n_words", "word_chars", "n_repeat_words", "n_stop", "n_exclaimed")} | {c: F.col(by)[c] for c in ("n_lines", "n_dup_lines", "n_ellipsis")}
     return df.withColumns(flat).drop(w, by)
 
 

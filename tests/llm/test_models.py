@@ -167,6 +167,42 @@ def test_quality_classifier(spark, sf_dir, labelled, rows):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_compiled_scores_equal_the_model(spark, sf_dir, labelled):
+    """The score column against the rules evaluated in numpy, row by row."""
+    rng = np.random.default_rng(5)
+    x = rng.random((800, len(quality_classifier.FEATURES)))
+    model = quality_classifier.fit_rules(x, ((x[:, 0] > 0.5) & (x[:, 2] < 0.6)).astype(float))
+    assert len(model[1]) > 3
+    names = list(quality_classifier.FEATURES)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], names)
+    got = [r.score for r in df.select(quality_classifier.score_column(model, names).alias("score")).collect()]
+    want = 1 / (1 + np.exp(-(model[0] + sum(w * quality_classifier.holds(x, r) for r, w in model[1]))))
+    assert np.allclose(got, want, atol=1e-12)
+
+
+def test_classifier_fits_one_row_of_each_id(spark):
+    docs = spark.createDataFrame([(i % 40, f"word {i} " * (1 + i % 7)) for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, y int")
+    seen = []
+    fit = quality_classifier.fit_rules
+    try:
+        quality_classifier.fit_rules = lambda x, y, **k: seen.append((x.shape, y.tolist())) or fit(x, y, **k)
+        quality_classifier.train(docs, labels, "text", sample=30)
+    finally:
+        quality_classifier.fit_rules = fit
+    assert seen[0][0] == (30, len(quality_classifier.FEATURES)) and len(seen[0][1]) == 30
+
+
+def test_held_out_accuracy_on_documents(spark, tmp_path):
+    rng = random.Random(2)
+    good = lambda: " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else f"word{rng.randrange(500)}" for _ in range(rng.randint(60, 150)))
+    bad = lambda: " ".join(rng.choice(["BUY", "now!", "###", "win$", f"x{rng.randrange(9)}"]) for _ in range(rng.randint(20, 150)))
+    spark.createDataFrame([(i, good() if i % 2 else bad()) for i in range(400)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality_classifier.op3_quality_classifier(spark, str(tmp_path)).where("held_out").collect()
+    assert len(got) > 50 and sum(r.predicted == r.doc_id % 2 for r in got) >= 0.95 * len(got)
+
+
 def test_lm_base_scores(spark, sf_dir, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT", 50)
     monkeypatch.setattr(lm_scoring, "FRACTION", 2)

@@ -35,6 +35,34 @@ def test_quality_statistics(spark, sf_dir, rows):
     assert got.where("kept and base_failed").count() == 0
 
 
+STOP = """the of and to in a is was for on with as by at from that it an be are
+le la les de des du et en un une que qui dans pour sur est pas au avec
+el los las y no se por con su para una del lo al
+der die das und zu den von ist mit sich auf für nicht ein eine im dem""".split()
+
+
+def test_kept_against_the_rules_written_out(spark, sf_dir, rows):
+    def kept(t):
+        t = t or ""
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        n = len(w)
+        rep = Counter(zip(w, w[1:], w[2:]))
+        rep = sum(any(rep[tuple(w[j : j + 3])] > 1 for j in range(max(0, i - 2), min(i, n - 3) + 1)) for i in range(n))
+        chars = sum(map(len, w))
+        upper = sum(bool(re.match(r"[A-ZÀ-ÖØ-Þ]{2}", x)) and not any(c.islower() for c in x) for x in w)
+        return not (
+            n < 50 or rep > 0.5 * n or sum(c in "#*$%&|<>" for c in t) > 0.1 * n or chars > 15 * n or chars < 2 * n or sum(x.endswith("!") for x in w) > 0.15 * n or upper > 0.4 * n
+            or sum(x.lower() in STOP for x in w) < 0.01 * n or len(lines) - len(set(lines)) > 0.8 * len(lines) or sum(x.rstrip(" ").endswith(("...", "…")) for x in lines) > 0.5 * len(lines)
+        )
+
+    extra = ["the quick ! fox! " * 30, "THE END " * 40 + "of it", " ".join(f"the w{i}" for i in range(40)), "\n".join(f"the w{i} goes on and..." for i in range(30)), " ".join(f"SHOUT{i} the" for i in range(60)), " ".join(f"of w{i} $$" for i in range(40)), " ".join(f"in {'x' * 40}{i}" for i in range(40)), " ".join(f"is no{i}!" for i in range(50))]
+    texts = [(i, t) for i, t in enumerate([r[1] for r in rows] + extra)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = {i: kept(t) for i, t in texts}
+    assert got == want and 0 < sum(want[i] for i in range(len(rows), len(texts))) < len(extra)
+
+
 def test_quality_rules_take_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", 7, True)], "doc_id long, text string, n_words int, kept boolean")
     r = quality_rules.quality_rules(df).first()
