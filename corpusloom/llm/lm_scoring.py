@@ -6,8 +6,11 @@ told apart by their corpus frequencies after the id before, so a score is a prob
 logits start from the smoothed frequency of a class after the id before it; attention learns what the wider context adds.
 
 Corpus statistics cover all training documents: counts of words (hashed to 64 bits) for the base score, of ids and of
-pairs of ids. The model's weights are fitted on all training documents; the number of tasks (SHARDS at least, one for
-SHARD_WORDS words) that fit copies of the model on their documents, block by block, grows with the input. The copies are averaged after each of EPOCHS rounds. Words are split at ASCII white space, A-Z lower-cased.
+pairs of ids. Texts are split into ids once; the ids are written. The model's weights are fitted on all training
+documents: copies of the model are fitted where the written ids lie, a task for each part of the scan, and averaged after
+each of ROUNDS rounds; each document is read in one of the rounds. A step's softmax covers the frequent classes, a draw of
+the others with their weight, and the target; scores take the softmax over all classes. Words are split at ASCII white
+space, A-Z lower-cased.
 
 Null and empty texts are a single end. Repeated rows are scored one by one; null ids count as the empty text for the
 held-out split. Without training documents the model is uniform over ids.
@@ -15,23 +18,27 @@ held-out split. Without training documents the model is uniform over ids.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import materialize, table
+from .common import materialize, settle, table
 from .quality_classifier import held_out
 
 WINDOW, CONTEXT = 32, 8
-WIDTH, CLASSES, INPUTS = 16, 256, 4096
-#: FRACTION: one part of the training documents in so many is fitted on; 1 means all.
-FRACTION, SHARDS, EPOCHS = 1, 6, 2
-SHARD_WORDS = 1 << 24
+WIDTH, CLASSES, INPUTS = 16, 128, 4096
+ROUNDS = 2
+#: Models that the driver adds up at most; more are added up in tasks first.
+MODELS = 24
+#: Classes of a training step: so many frequent ones, and so many drawn from the others.
+ALWAYS, DRAWN = 16, 16
+STEP = 256  # windows of a training step
 #: Pairs of ids within the last class whose counts are sent to every task (the others' are joined), and what each pair's
 #: count is discounted by.
 PAIRS, DISCOUNT = 1 << 18, 0.75
@@ -39,7 +46,7 @@ START = 1 << 19  # stands before the first id of a text
 #: Frequent words whose counts are sent to every task; the others' counts are joined.
 FREQUENT = 1 << 16
 BATCH = 64
-BLOCK = 1 << 21  # bytes of text held as arrays at once, or one text
+BLOCK = 1 << 21  # bytes of text or ids held as arrays at once, or one text
 END_WORD = 0  # stands for the end among word hashes
 
 
@@ -115,30 +122,68 @@ class Attention:
         self.start = self.prior + self.p["bias"]
         return self
 
-    def gradient(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log probability of target (places of weight 0 are left out)."""
+    def gradient(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, drawn: np.ndarray | None = None, share: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean negative log probability of target (places of weight 0 are left out).
+
+        drawn: the classes that the softmax covers beside the target (by default all), each standing for `share` classes."""
         p, (b, n) = self.p, ids.shape
-        z, (x, q, k, v, a, h) = self.forward(ids)
-        dz = np.exp(z, out=z)
-        np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
-        dz *= (weight / max(weight.sum(), 1))[..., None].astype(np.float32)
+        width = p["emb"].shape[1]
+        cols = np.arange(len(p["bias"])) if drawn is None else drawn
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(h).T @ flat(dz), "bias": flat(dz).sum(0)}
-        dh = _times(dz, p["out"].T)
-        da = dh @ v.transpose(0, 2, 1)
+        x = np.take(p["emb"], ids, axis=0) + p["pos"][:n]
+        qkv = flat(x) @ np.concatenate([p["q"] * self.scale, p["k"], p["v"]], 1)
+        q, k, v = (np.ascontiguousarray(qkv[:, i * width : (i + 1) * width]).reshape(b, n, width) for i in range(3))
+        a = q @ k.transpose(0, 2, 1)
+        a += self.mask[:n, :n]
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a /= a.sum(-1, keepdims=True)
+        h = flat(x + a @ v)
+        inp, t = ids.ravel(), target.ravel()
+        out_t = np.take(np.ascontiguousarray(p["out"].T), t, axis=0)
+        z_t = np.einsum("ij,ij->i", h, out_t) + self.prior[inp, t] + p["bias"][t]
+        z = h @ p["out"][:, cols]
+        z += np.take(np.ascontiguousarray(self.prior[:, cols]) + p["bias"][cols], inp, axis=0)
+        if share is not None:
+            z += np.log(share).astype(z.dtype)
+        place = np.full(len(p["bias"]), -1)
+        place[cols] = np.arange(len(cols))
+        own = np.flatnonzero(place[t] >= 0)
+        z[own, place[t[own]]] = -1e9  # the target counts once
+        top = np.maximum(z.max(1), z_t)
+        z -= top[:, None]
+        np.exp(z, out=z)
+        e_t = np.exp(z_t - top)
+        w = weight.ravel() / max(weight.sum(), 1)
+        scale = (w / (z.sum(1) + e_t)).astype(z.dtype)
+        z *= scale[:, None]
+        dz_t = (e_t * scale - w).astype(z.dtype)
+        g = {"out": np.zeros_like(p["out"]), "bias": np.zeros_like(p["bias"])}
+        g["out"][:, cols] = h.T @ z
+        g["out"] += _summed(t, h * dz_t[:, None], len(p["bias"])).T
+        g["bias"][cols] = z.sum(0)
+        g["bias"] += np.bincount(t, dz_t, len(p["bias"])).astype(z.dtype)
+        dh = (z @ p["out"][:, cols].T + dz_t[:, None] * out_t).reshape(b, n, width)
+        ds = dh @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * self.scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh + _times(dq, p["q"].T) + _times(dk, p["k"].T) + _times(dv, p["v"].T)
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(x).T @ flat(d)
+        ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+        ds *= a
+        dq, dk = (ds @ k) * self.scale, ds.transpose(0, 2, 1) @ q
+        d = np.concatenate([flat(dq), flat(dk), flat(dv)], 1)
+        gm = flat(x).T @ d
+        g["q"], g["k"], g["v"] = gm[:, :width], gm[:, width : 2 * width], gm[:, 2 * width :]
+        dx = dh + (d @ np.concatenate([p["q"], p["k"], p["v"]], 1).T).reshape(b, n, width)
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][:n] = dx.sum(0)
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], ids.ravel(), flat(dx))
+        g["emb"] = _summed(inp, flat(dx), len(p["emb"]))
         return g
 
 
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their place among n."""
+    return np.stack([np.bincount(at, c, n) for c in rows.T], 1).astype(rows.dtype)
+
+
 def windows(at: np.ndarray, window: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows over texts at[i]..at[i+1]: first place, first scored place and end, all in the flat array."""
     n, step = np.diff(at), window - context
@@ -293,17 +338,36 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return np.array([h(w) or 1 for w in words.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
 
 
+def _words(texts: pa.Array):
+    """Of runs of texts: distinct hashes, index of each word in them, and where texts start among words."""
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)] if len(texts) else []
+    for a, b in pairwise(cuts):
+        lists = pc.ascii_split_whitespace(texts.slice(a, b - a))
+        coded = lists.flatten().dictionary_encode()
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        yield _real(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), at)
+
+
+def _real(distinct: pa.Array, index: np.ndarray, at: np.ndarray):
+    """Without the empty strings that stand for white space at the ends of texts."""
+    real = pc.not_equal(distinct, "").to_numpy(zero_copy_only=False)
+    real = real[index] if len(index) else np.zeros(0, bool)
+    return _hashes(distinct), index[real], np.concatenate([[0], np.cumsum(real)])[at]
+
+
 def _both(texts: pa.Array, model: subword.Subwords):
-    """Of runs of texts: distinct hashes, index of each word in them, where texts start among words; ids and where texts start."""
+    """As _words, and ids and where texts start among them."""
     lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     for distinct, index, at, ids, ids_at in model.with_words(lower, BLOCK):
-        real = pc.not_equal(distinct, "").to_numpy(zero_copy_only=False)
-        real = real[index] if len(index) else np.zeros(0, bool)
-        yield _hashes(distinct), index[real], np.concatenate([[0], np.cumsum(real)])[at], ids, ids_at
+        yield (*_real(distinct, index, at), ids, ids_at)
 
 
-def counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """kind (word, id or pair of ids), key and n over all documents; docs: text."""
+def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """kind doc: k, c, train and ids (with the end) of each document; kind word, id or pair (of ids): key and n, counted
+    over parts of the training documents. docs: k, c, train, text."""
+    names = ["kind", "key", "n", "k", "c", "train", "ids"]
 
     def run(batches):
         model = subword.load(tokenizer)
@@ -316,20 +380,30 @@ def counts(docs: DataFrame, tokenizer: str) -> DataFrame:
             return key, np.bincount(at, np.concatenate([n for _, n in some])).astype(np.int64)
 
         def out(kind, key, n):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
+            none = lambda t: pa.nulls(len(key), t)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.bool_()), none(pa.binary())], names=names)
 
         for b in batches:
-            for hashes, index, word_at, ids, at in _both(b.column(0), model):
-                ids_total[:-1] += np.bincount(ids, minlength=model.size)
-                ids_total[-1] += len(at) - 1
+            row = 0
+            trains = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for hashes, index, word_at, ids, at in _both(b.column(3), model):
+                n_texts = len(at) - 1
+                train = trains[row : row + n_texts]
                 ids, at = _with_ends(ids, at, model.size)
-                pairs.append(np.unique(_before(ids, at) << 20 | ids, return_counts=True))
+                raw = ids.astype("<i4")
+                none = lambda: pa.nulls(n_texts, pa.int64())  # noqa: B023, E731
+                body = pa.array([raw[x:y].tobytes() for x, y in pairwise(at.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(["doc"] * n_texts, pa.string()), none(), none(), b.column(0).slice(row, n_texts), b.column(1).slice(row, n_texts), pa.array(train), body], names=names)
+                row += n_texts
+                of_id, of_word = np.repeat(train, np.diff(at)), np.repeat(train, np.diff(word_at))
+                ids_total += np.bincount(ids[of_id], minlength=model.size + 1)
+                pairs.append(np.unique((_before(ids, at) << 20 | ids)[of_id], return_counts=True))
                 if sum(len(k) for k, _ in pairs) > 2_000_000:
                     pairs = [summed(pairs)]
                     if len(pairs[0][0]) > 1_000_000:
                         yield out("pair", *pairs.pop())
-                n = np.bincount(index, minlength=len(hashes))
-                held += [(hashes[n > 0], n[n > 0]), (np.array([END_WORD]), np.array([len(word_at) - 1]))]
+                n = np.bincount(index[of_word], minlength=len(hashes))
+                held += [(hashes[n > 0], n[n > 0]), (np.array([END_WORD]), np.array([int(train.sum())]))]
                 if sum(len(k) for k, _ in held) > 2_000_000:
                     yield out("word", *summed(held))
                     held = []
@@ -340,26 +414,25 @@ def counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         at = np.flatnonzero(ids_total)
         yield out("id", at, ids_total[at])
 
-    return docs.select("text").mapInArrow(run, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("k", "c", "train", "text").mapInArrow(run, "kind string, key long, n long, k long, c int, train boolean, ids binary")
 
 
-def _own_parts(spark: SparkSession, n: int) -> list[int]:
-    """Of each of n partitions, a value that repartition(n, column) sends there: equal shards don't share a task by chance."""
-    found = spark.range(64 * n).selectExpr("cast(id as int) as v").groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("part")).agg(F.min("v").alias("v")).collect()  # n rows
-    return [r.v for r in found]
+def _arrays(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the written documents one after another, and where each starts."""
+    sizes = pc.binary_length(batch).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    return np.frombuffer(b"".join(batch.to_pylist()), "<i4"), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, tokenizer: str, epochs: int = EPOCHS, shards: int = SHARDS, rate: float = 0.02) -> Attention:
-    """Fits copies in `shards` tasks and averages them, each round; docs: text, h (a hash that deals and orders them)."""
+def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: int = ROUNDS, rate: float = 0.02) -> Attention:
+    """Fits a copy in each task and averages them, each round; docs: ids, part (the number of the round that reads it)."""
     model = Attention(prior=prior)
-    docs = materialize(docs.select("text", "h", F.get(F.array(*[F.lit(v) for v in _own_parts(docs.sparkSession, shards)]), F.pmod("h", F.lit(shards)).cast("int")).alias("shard")))
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, prior))  # bounded by the model's size
     kind = "step long, " + ", ".join(f"{k} array<double>" for k in Attention.NAMES)
 
     def record(step, p):
         return pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), *(pa.array([p[k].ravel().astype(np.float64)]) for k in Attention.NAMES)], names=["step", *Attention.NAMES])
 
-    def total(rows: list[pa.RecordBatch]):
+    def total(rows):
         """Steps and sums of weights times steps."""
         step, p = 0, {}
         for b in rows:
@@ -370,118 +443,147 @@ def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, tokenizer:
         return step, p
 
     def add(batches):
-        step, p = total(list(batches))
+        step, p = total(batches)
         if step:
             yield record(step, p)
 
-    for epoch in range(epochs):
+    for part in range(rounds):
         start = model.p
 
-        def run(batches, start=start, epoch=epoch):
+        def run(batches, start=start, part=part):
             vocabulary, prior = shared.value
-            net, words = Attention(prior=prior), subword.load(tokenizer)
+            net = Attention(prior=prior)
             net.p = {k: v.copy() for k, v in start.items()}
             m = {k: np.zeros_like(v) for k, v in net.p.items()}
             s = {k: np.zeros_like(v) for k, v in net.p.items()}
-            step = 0
-            rng = np.random.default_rng(epoch)
+            step, rng = 0, np.random.default_rng(part)
+            others = np.arange(ALWAYS, CLASSES - 1)
+            always = np.append(np.arange(min(ALWAYS, CLASSES - 1)), CLASSES - 1)
+            n_drawn = min(DRAWN, len(others))
+            share = np.append(np.ones(len(always)), np.full(n_drawn, len(others) / max(n_drawn, 1)))
             for b in batches:
-                for ids, at in words.texts(b.column(0), 1 << 20):
-                    ids, at = _with_ends(ids, at, words.size)
-                    inputs, target = _shifted(vocabulary.inp[ids], at), vocabulary.cls[ids].astype(np.int64)
-                    first, _, end = windows(at, WINDOW, 0)
-                    order = rng.permutation(len(first))
-                    for i in range(0, len(order), 128):
-                        w = order[i : i + 128]
-                        place = first[w][:, None] + np.arange(WINDOW)
-                        real = place < end[w][:, None]
-                        place = np.minimum(place, len(target) - 1)
-                        g = net.gradient(inputs[place], target[place], real)
-                        step += 1
-                        pace = rate * (0.5 if epoch else 1.0) / (1 + step / 400)
-                        for k, d in g.items():
-                            m[k] = 0.9 * m[k] + 0.1 * d
-                            s[k] = 0.99 * s[k] + 0.01 * d * d
-                            net.p[k] -= pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+                ids, at = _arrays(b.column(0))
+                inputs, target = _shifted(vocabulary.inp[ids], at), vocabulary.cls[ids].astype(np.int64)
+                first, _, end = windows(at, WINDOW, 0)
+                order = rng.permutation(len(first))
+                for i in range(0, len(order), STEP):
+                    w = order[i : i + STEP]
+                    place = first[w][:, None] + np.arange(WINDOW)
+                    real = place < end[w][:, None]
+                    place = np.minimum(place, len(target) - 1)
+                    drawn = np.append(always, rng.choice(others, n_drawn, replace=False)) if n_drawn else always
+                    g = net.gradient(inputs[place], target[place], real, drawn, share)
+                    step += 1
+                    pace = rate * (0.5 if part else 1.0) / (1 + step / 400)
+                    for k, d in g.items():
+                        m[k] += 0.1 * (d - m[k])
+                        s[k] += 0.01 * (d * d - s[k])
+                        net.p[k] -= np.float32(pace / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
             if step:
                 yield record(step, {k: v.astype(np.float64) * step for k, v in net.p.items()})
 
-        fitted = docs.repartition(shards, "shard").sortWithinPartitions("h").select("text").mapInArrow(run, kind)
-        if shards > 4 * SHARDS:
-            fitted = fitted.repartition(SHARDS).mapInArrow(add, kind)
-        steps, sums = total(fitted.toArrow().to_batches())  # a few models
+        fitted = settle(docs.sparkSession, lambda run=run, part=part: docs.where(F.col("part") == part).select("ids").mapInArrow(run, kind))
+        if fitted.count() > MODELS:
+            fitted = fitted.repartition(MODELS).mapInArrow(add, kind)
+        steps, sums = total(fitted.toArrow().to_batches())  # MODELS models at most
         if steps:
             model.p = {k: (sums[k] / steps).astype(np.float32).reshape(v.shape) for k, v in start.items()}
     return model
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_when=None, tokenizer: str | None = None) -> DataFrame:
-    """key, n_tokens, n_known, train_tokens, base_score and score of each document; train_when: condition of training rows."""
+def base_scores(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
+    """k, c, key, n_tokens, n_known and base_score of each document, and the number of training tokens.
+
+    docs: k, c, key, text; words: h, c (counts of training tokens)."""
     spark = docs.sparkSession
-    tokenizer = tokenizer or subword.tokenizer_path()
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    training = docs if train_when is None else docs.where(train_when(F.col("key")))
-    found = materialize(counts(training, tokenizer))
-    words = found.where("kind = 'word'").select(F.col("key").alias("h"), F.col("n").alias("c"))
     n_tokens, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     end_count = next((r.c for r in words.where(F.col("h") == END_WORD).collect()), 0)
-    by_id = {r.key: r.n for r in found.where("kind = 'id'").collect()}  # at most the tokenizer's ids
-    id_counts = np.zeros(subword.load(tokenizer).size + 1)
-    for k, v in by_id.items():
-        id_counts[k] = v
-    vocabulary = Vocabulary(id_counts)
-    hashed = training.withColumn("h", F.xxhash64("key", "text"))
-    sample = hashed.where(F.pmod("h", F.lit(FRACTION)) == 0).withColumn("h", F.shiftright("h", 16))
-    pairs, rare_pairs = pair_counts(found, vocabulary)
-    model = train(sample, vocabulary, prior_logits(pairs), tokenizer, shards=max(SHARDS, n_tokens // SHARD_WORDS))
     top = words.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     cut = (top[-1].c, top[-1].h) if len(top) == FREQUENT else None
-    hot = np.array(sorted((r.h, r.c) for r in top), np.int64).reshape(-1, 2)
-    shared = spark.sparkContext.broadcast((hot, vocabulary, model))  # bounded by FREQUENT and the model's size
+    shared = spark.sparkContext.broadcast(np.array(sorted((r.h, r.c) for r in top), np.int64).reshape(-1, 2))  # FREQUENT rows at most
     base = float(np.log10(n_tokens + n_distinct + 1))
-    names = ["uid", "key", "n_tokens", "n_known", "base", "score", "rest_h", "rest_n", "pair", "pair_n"]
+    names = ["k", "c", "key", "n_tokens", "n_known", "base", "rest_h", "rest_n"]
 
     def run(batches):
-        hot, vocabulary, model = shared.value
-        pieces, uid = subword.load(tokenizer), TaskContext.get().partitionId() << 36
+        hot = shared.value
         for b in batches:
-            logs = []
             rows: list[tuple] = []
-            pair_rows: list[tuple] = []
-            for hashes, index, at, ids, ids_at in _both(b.column(1), pieces):
-                ids, ids_at = _with_ends(ids, ids_at, pieces.size)
-                before = _before(ids, ids_at)
-                p = scored(model, _shifted(vocabulary.inp[ids], ids_at), vocabulary.cls[ids].astype(np.int64), ids_at) / np.log(10) + vocabulary.within(ids, before)
-                place, keys = vocabulary.far(ids, before)
-                pair_rows += [np.unique(x, return_counts=True) for x in np.split(keys, np.searchsorted(place, ids_at[1:-1]))][: len(ids_at) - 1]
-                logs.append(np.add.reduceat(p, ids_at[:-1]) if len(ids_at) > 1 else p[:0])
+            for hashes, index, at in _words(b.column(3)):
                 place = np.minimum(np.searchsorted(hot[:, 0], hashes), max(len(hot) - 1, 0))
                 is_hot = hot[place, 0] == hashes if len(hot) else np.zeros(len(hashes), bool)
-                c = np.where(is_hot, hot[place, 1], 0) if len(hot) else np.zeros(len(hashes), np.int64)
-                log, known, cold = np.log10(c + 1.0), c > 0, ~is_hot
-                for i in range(len(at) - 1):
-                    x = index[at[i] : at[i + 1]]
-                    far, n = np.unique(x[cold[x]], return_counts=True) if cut is not None else (x[:0], x[:0])
-                    rows.append((len(x) + 1, int(known[x].sum()) + (end_count > 0), float(log[x].sum()) + float(np.log10(end_count + 1.0)), hashes[far], n.astype(np.int64)))
-            logs = np.concatenate(logs) if logs else np.zeros(0)
-            cols = list(zip(*((*x, *y) for x, y in zip(rows, pair_rows, strict=True)), strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.float64(), *[pa.list_(pa.int64())] * 4)
-            n_tok, n_known, base_sum, far, n, pair, pair_n = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(rows))), b.column(0), n_tok, n_known, base_sum, pa.array(logs.astype(np.float64)), far, n, pair, pair_n], names=names)
-            uid += len(rows)
+                count = np.where(is_hot, hot[place, 1], 0) if len(hot) else np.zeros(len(hashes), np.int64)
+                log, known, cold = np.log10(count + 1.0), count > 0, ~is_hot
+                for x, y in pairwise(at.tolist()):
+                    i = index[x:y]
+                    far, n = np.unique(i[cold[i]], return_counts=True) if cut is not None else (i[:0], i[:0])
+                    rows.append((len(i) + 1, int(known[i].sum()) + (end_count > 0), float(log[i].sum()) + float(np.log10(end_count + 1.0)), hashes[far], n.astype(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
 
     kind = docs.schema["key"].dataType.simpleString()
-    rows = materialize(docs.mapInArrow(run, f"uid long, key {kind}, n_tokens long, n_known long, base double, score double, rest_h array<long>, rest_n array<long>, pair array<long>, pair_n array<long>"))
-    if rare_pairs is not None:
-        far = rows.select("uid", F.explode(F.arrays_zip("pair", "pair_n")).alias("r")).select("uid", F.col("r.pair").alias("key"), F.col("r.pair_n").alias("n")).join(rare_pairs, "key")
-        more = far.groupBy("uid").agg(F.sum(F.col("n") * F.col("gain")).alias("more"))
-        rows = rows.join(more, "uid", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
+    rows = docs.select("k", "c", "key", "text").mapInArrow(run, f"k long, c int, key {kind}, n_tokens long, n_known long, base double, rest_h array<long>, rest_n array<long>")
     if cut is not None:
-        rare = words.where((F.col("c") < cut[0]) | (F.col("c") == cut[0]) & (F.col("h") > cut[1]))
-        far = rows.select("uid", F.explode(F.arrays_zip("rest_h", "rest_n")).alias("r")).select("uid", F.col("r.rest_h").alias("h"), F.col("r.rest_n").alias("n")).join(rare, "h")
-        more = far.groupBy("uid").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"))
-        rows = rows.drop("rest_h", "rest_n", "pair", "pair_n").join(more, "uid", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("known", F.lit(0)), "base": F.col("base") + F.coalesce("more", F.lit(0.0))})
-    return rows.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * base).alias("base_score"), "score")
+        rows = materialize(rows)
+        rare = words.where((F.col("c") < cut[0]) | (F.col("c") == cut[0]) & (F.col("h") > cut[1])).select("h", F.col("c").alias("n_word"))
+        one = rows.dropDuplicates(["k", "c"])  # repeated rows have the same words
+        far = one.select("k", "c", F.explode(F.arrays_zip("rest_h", "rest_n")).alias("r")).select("k", "c", F.col("r.rest_h").alias("h"), F.col("r.rest_n").alias("n")).join(rare, "h")
+        more = far.groupBy("k", "c").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("n_word") + 1.0)).alias("more"))
+        rows = rows.drop("rest_h", "rest_n").join(more, ["k", "c"], "left").withColumns({"n_known": F.col("n_known") + F.coalesce("known", F.lit(0)), "base": F.col("base") + F.coalesce("more", F.lit(0.0))})
+    return rows.select("k", "c", "key", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * base).alias("base_score")), n_tokens
+
+
+def model_scores(ids: DataFrame, vocabulary: Vocabulary, model: Attention, rare_pairs: DataFrame | None) -> DataFrame:
+    """k, c and score of each distinct document; ids: k, c, ids."""
+    shared = ids.sparkSession.sparkContext.broadcast((vocabulary, model))  # bounded by PAIRS and the model's size
+
+    def run(batches):
+        vocabulary, model = shared.value
+        for b in batches:
+            logs, pair_rows = [], []
+            sizes = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for x, y in pairwise(cuts):
+                ids, at = _arrays(b.column(2).slice(x, y - x))
+                before = _before(ids, at)
+                p = scored(model, _shifted(vocabulary.inp[ids], at), vocabulary.cls[ids].astype(np.int64), at) / np.log(10) + vocabulary.within(ids, before)
+                logs.append(np.add.reduceat(p, at[:-1]))
+                place, keys = vocabulary.far(ids, before)
+                pair_rows += [np.unique(k, return_counts=True) for k in np.split(keys, np.searchsorted(place, at[1:-1]))]
+            cols = list(zip(*pair_rows, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([np.zeros(0), *logs]).astype(np.float64)), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["k", "c", "score", "pair", "pair_n"])
+
+    rows = ids.select("k", "c", "ids").mapInArrow(run, "k long, c int, score double, pair array<long>, pair_n array<long>")
+    if rare_pairs is None:
+        return rows.groupBy("k", "c").agg(F.min("score").alias("score"))
+    rows = materialize(rows).dropDuplicates(["k", "c"])
+    far = rows.select("k", "c", F.explode(F.arrays_zip("pair", "pair_n")).alias("r")).select("k", "c", F.col("r.pair").alias("key"), F.col("r.pair_n").alias("n")).join(rare_pairs, "key")
+    more = far.groupBy("k", "c").agg(F.sum(F.col("n") * F.col("gain")).alias("more"))
+    return rows.join(more, ["k", "c"], "left").select("k", "c", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_when=None, tokenizer: str | None = None) -> DataFrame:
+    """key, n_tokens, n_known, train_tokens, base_score and score of each document; train_when: condition of training rows."""
+    spark = docs.sparkSession
+    tokenizer = tokenizer or subword.tokenizer_path()
+    trains = F.lit(True) if train_when is None else F.coalesce(train_when(F.col(key)), F.lit(False))
+    docs = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("k"), F.hash(F.col(text), F.col(key)).alias("c"), F.col(key).alias("key"), trains.alias("train"), F.col(text).alias("text"))
+
+    def scored_rows() -> DataFrame:
+        coded = materialize(encoded(docs, tokenizer))
+        ids = coded.where("kind = 'doc'")
+        found = materialize(coded.where("kind <> 'doc'").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+        id_counts = np.zeros(subword.load(tokenizer).size + 1)
+        for r in found.where("kind = 'id'").collect():  # at most the tokenizer's ids
+            id_counts[r.key] = r.n
+        vocabulary = Vocabulary(id_counts)
+        pairs, rare_pairs = pair_counts(found, vocabulary)
+        model = train(ids.where("train").select("k", "ids", F.pmod("k", F.lit(ROUNDS)).alias("part")), vocabulary, prior_logits(pairs))
+        scores = model_scores(ids, vocabulary, model, rare_pairs)
+        rows, n_tokens = base_scores(docs, found.where("kind = 'word'").select(F.col("key").alias("h"), F.col("n").alias("c")))
+        return rows.join(scores, ["k", "c"], "left").select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+    return settle(spark, scored_rows)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

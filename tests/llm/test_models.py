@@ -205,7 +205,6 @@ def test_held_out_accuracy_on_documents(spark, tmp_path):
 
 def test_lm_base_scores(spark, sf_dir, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT", 50)
-    monkeypatch.setattr(lm_scoring, "FRACTION", 2)
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     tokens = [[*WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r[1] or "")), None] for r in rows]
     c = Counter(t for r, x in zip(rows, tokens) if not held(r[0]) for t in x)
@@ -217,16 +216,45 @@ def test_lm_base_scores(spark, sf_dir, rows, monkeypatch):
 
 
 def test_model_is_fitted_on_all_training_documents(spark, monkeypatch):
-    texts = sorted(f"text {i} of {i * i}" for i in range(50))
+    """Each document is read in one of the rounds."""
+    texts = [f"text {i} of {i * i}" for i in range(50)]
     fitted, train = [], lm_scoring.train
 
     def spy(docs, *args, **options):
-        fitted.extend(sorted(r.text for r in docs.collect()))
+        fitted.extend((np.frombuffer(r.ids, "<i4").tolist(), r.part) for r in docs.collect())
         return train(docs, *args, **options)
 
     monkeypatch.setattr(lm_scoring, "train", spy)
     lm_scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert fitted == texts
+    model = lm_scoring.subword.load(lm_scoring.subword.tokenizer_path())
+    assert sorted(i for i, _ in fitted) == sorted([*model.library.encode(t, add_special_tokens=False).ids, model.size] for t in texts)
+    assert {p for _, p in fitted} == set(range(lm_scoring.ROUNDS))
+
+
+def test_scores_against_a_direct_forward_pass(spark, sf_dir, monkeypatch):
+    """The score of each document from plain window-by-window forward passes of the same model over its ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 75")
+    kept, rows = [], lm_scoring.model_scores
+    monkeypatch.setattr(lm_scoring, "model_scores", lambda ids, vocabulary, model, rare: kept.extend((vocabulary, model)) or rows(ids, vocabulary, model, rare))
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
+    vocabulary, model = kept
+    assert not vocabulary.more
+    library = lm_scoring.subword.load(lm_scoring.subword.tokenizer_path())
+    for r in docs.collect():
+        if len(r.text or "") > 3000:
+            continue
+        ids = np.array([*library.library.encode("".join(c.lower() if c.isascii() else c for c in r.text or ""), add_special_tokens=False).ids, library.size])
+        before = np.append(lm_scoring.START, ids[:-1])
+        seen = np.append(lm_scoring.INPUTS + 1, vocabulary.inp[ids[:-1]])
+        total, done = float(vocabulary.within(ids, before).sum()), 0
+        for first in range(0, len(ids), 24):
+            if done >= len(ids):
+                break
+            end = min(first + 32, len(ids))
+            z, _ = model.forward(seen[None, first:end])
+            total += sum(float(z[0, i - first, vocabulary.cls[ids[i]]]) for i in range(done, end)) / math.log(10)
+            done = end
+        assert abs(total - got[r.doc_id]) < 1e-3 * max(1, abs(total)), r.doc_id
 
 
 @pytest.mark.parametrize("pairs", [0, 40])
@@ -323,85 +351,39 @@ def test_empty(spark, empty_dir):
 
 def test_copies_of_many_tasks_are_averaged(spark, rows, monkeypatch):
     """Adding up in between changes nothing but rounding."""
-    docs = spark.createDataFrame([(r[1], hash(r[1]) % 10**6) for r in rows[:60]], "text string, h long")
-    counts = np.ones(lm_scoring.subword.load(lm_scoring.subword.tokenizer_path()).size + 1)
-    args = docs, lm_scoring.Vocabulary(counts), lm_scoring.prior_logits(np.zeros((lm_scoring.INPUTS + 2, lm_scoring.CLASSES))), lm_scoring.subword.tokenizer_path(), 1, 5
+    model = lm_scoring.subword.load(lm_scoring.subword.tokenizer_path())
+    coded = [(bytearray(np.array([*model.library.encode(r[1] or "", add_special_tokens=False).ids, model.size], "<i4").tobytes()), 0) for r in rows[:60]]
+    docs = spark.createDataFrame(coded, "ids binary, part int").repartition(5).cache()
+    args = docs, lm_scoring.Vocabulary(np.ones(model.size + 1)), lm_scoring.prior_logits(np.zeros((lm_scoring.INPUTS + 2, lm_scoring.CLASSES))), 1
     plain = lm_scoring.train(*args).p
-    monkeypatch.setattr(lm_scoring, "SHARDS", 1)
+    monkeypatch.setattr(lm_scoring, "MODELS", 1)
     summed = lm_scoring.train(*args).p
     fresh = lm_scoring.Attention().p
     assert all(np.allclose(plain[k], summed[k], atol=1e-6) for k in plain) and not np.allclose(plain["out"], fresh["out"])
 
 
-URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-
-
-def brute_verdicts(pages):
-    """Host, path, rule and verdict of (page_id, url, html), with dense linear systems for trust and distrust."""
-    rows = []
-    for page_id, url, html in pages:
-        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
-        host, path = ("".join(c.lower() if c.isascii() else c for c in m[1]), m[2]) if m else ("", "")
-        fits = [(len(r), r, v) for r, v in URL_RULES if host and ("." + host).endswith("." + r.partition("/")[0]) and path.startswith("/" + r.partition("/")[2])]
-        rows.append((page_id, host, path, max(fits)[1:] if fits else None, html or ""))
-    edges, seeds = Counter(), {"allow": Counter(), "block": Counter()}
-    hosts = {r[1] for r in rows if r[1]}
-    for _, host, _, rule, html in rows:
-        if host:
-            for dst in re.findall(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>]+)", html):
-                if host != dst.lower():
-                    edges[host, dst.lower()] += 1
-                    hosts.add(dst.lower())
-            if rule:
-                seeds[rule[1]][host] += 1
-    tree = set()
-    for h in hosts:
-        while h.count(".") > 1:
-            up = h.partition(".")[2]
-            tree |= {(h, up), (up, h)}
-            h = up
-    for e in tree:
-        edges[e] += 1
-    names = sorted(hosts | {h for e in edges for h in e})
-    at = {h: i for i, h in enumerate(names)}
-    x = []
-    for kind, flip in (("allow", False), ("block", True)):
-        m, start = np.zeros((len(names), len(names))), np.zeros(len(names))
-        for (s, d), w in edges.items():
-            s, d = (d, s) if flip else (s, d)
-            m[at[d], at[s]] += w
-        m /= np.maximum(m.sum(0), 1e-300)
-        for h, n in seeds[kind].items():
-            start[at[h]] = n
-        x.append(np.linalg.solve(np.eye(len(names)) - 0.85 * m, 0.15 * start / max(start.sum(), 1)) if len(names) else start)
-    out = []
-    for page_id, host, path, rule, _ in rows:
-        i = at.get(host)
-        bad = host and x[1][i] >= 4 * x[0][i] and x[1][i] > 1 / len(names)
-        out.append((page_id, host, path, rule[0] if rule else None, rule[1] if rule else "block" if bad else "allow"))
-    return out
-
-
-def test_url_filter_takes_clashing_columns(spark):
-    pages = spark.createDataFrame([(1, "http://a.com/en/1", "", 5, 6, 7), (2, None, None, 8, 9, 10)], "page_id long, url string, html string, row int, judged int, Host int")
-    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
-    assert (got[1].row, got[1].judged, got[1].host, got[1].verdict) == (5, 6, "a.com", "block") and (got[2].row, got[2].host) == (8, "")
-
-
-def test_url_rules_of_the_contract():
-    assert sorted((r, v) for v, r in url_filter.RULES) == sorted(URL_RULES)
+def test_gradient_of_drawn_classes():
+    """Of the softmax over drawn classes, each standing for `share` of them, and the target."""
+    rng = np.random.default_rng(3)
+    net = lm_scoring.Attention(inputs=7, width=3, classes=9, window=6)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.prior = rng.standard_normal((7, 9))
+    ids, target, weight = rng.integers(0, 7, (2, 6)), rng.integers(0, 9, (2, 6)), rng.random((2, 6)) < 0.8
+    drawn, share = np.array([0, 8, 3, 5]), np.array([1, 1, 3.5, 3.5])
 
+    def loss():
+        z, _ = net.forward(ids)
+        t = np.take_along_axis(z, target[..., None], 2)[..., 0]
+        rest = (np.exp(z[..., drawn]) * share * (drawn != target[..., None])).sum(-1)
+        return -((t - np.log(np.exp(t) + rest)) * weight).sum() / weight.sum()
 
-def test_url_verdicts(spark, tmp_path):
-    """All verdicts, also of pages without a rule, against a solved linear system over the whole graph."""
-    rng = random.Random(11)
-    hosts = [f"{s}.{d}" for s in ("a", "b", "c.d", "www") for d in ("example.com", "example.net", "example.org", "other.net", "x.org")] + ["example.net", "lone.com", ""]
-    pages = []
-    for i in range(150):
-        link = "".join(f'<a class=z href="https://{rng.choice(hosts[:-1])}/x">y</a>' for _ in range(rng.choice((0, 0, 1, 3))))
-        pages.append((i, f"http://{rng.choice(hosts)}/{rng.choice(('en', 'de', 'es', 'fr'))}/{rng.randint(1, 99)}", link))
-    pages += [(None, None, None), (3, "no url", ""), (4, "https://EXAMPLE.net/de/81?x", None), pages[0]]
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    want = brute_verdicts(pages)
-    assert ("net/de/", "allow") in {w[3:] for w in want} and ("example.net/de/8", "block") in {w[3:] for w in want} and (None, "block") in {w[3:] for w in want} and (None, "allow") in {w[3:] for w in want}
-    assert as_rows(url_filter.op4_url_filter(spark, str(tmp_path))) == sorted(want, key=repr)
+    g = net.gradient(ids, target, weight, drawn, share)
+    for k, v in net.p.items():
+        for i in rng.integers(0, v.size, 6):
+            old = v.flat[i]
+            v.flat[i] = old + 1e-5
+            up = loss()
+            v.flat[i] = old - 1e-5
+            down = loss()
+            v.flat[i] = old
+            assert abs((up - down) / 2e-5 - g[k].flat[i]) < 1e-4, k
