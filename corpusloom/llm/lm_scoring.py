@@ -143,7 +143,8 @@ class Attention:
         out_t = np.take(np.ascontiguousarray(p["out"].T), t, axis=0)
         z_t = np.einsum("ij,ij->i", h, out_t) + self.prior[inp, t] + p["bias"][t]
         z = h @ p["out"][:, cols]
-        z += np.take(np.ascontiguousarray(self.prior[:, cols]) + p["bias"][cols], inp, axis=0)
+        z += np.take(self.prior.ravel(), inp[:, None] * len(p["bias"]) + cols)
+        z += p["bias"][cols]
         if share is not None:
             z += np.log(share).astype(z.dtype)
         place = np.full(len(p["bias"]), -1)
