@@ -38,7 +38,7 @@ ROUNDS = 2
 MODELS = 24
 #: Classes of a training step: so many frequent ones, and so many drawn from the others.
 ALWAYS, DRAWN = 16, 16
-STEP = 256  # windows of a training step
+STEP = 128  # windows of a training step
 #: Pairs of ids within the last class whose counts are sent to every task (the others' are joined), and what each pair's
 #: count is discounted by.
 PAIRS, DISCOUNT = 1 << 18, 0.75
@@ -418,6 +418,12 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("k", "c", "train", "text").mapInArrow(run, "kind string, key long, n long, k long, c int, train boolean, ids binary")
 
 
+def _blocks(ids: pa.Array) -> list[tuple[int, int]]:
+    """Runs of written documents of about BLOCK bytes, or one document."""
+    sizes = np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK
+    return list(pairwise([0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(ids)])) if len(ids) else []
+
+
 def _arrays(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the written documents one after another, and where each starts."""
     sizes = pc.binary_length(batch).to_numpy(zero_copy_only=False).astype(np.int64) // 4
@@ -462,8 +468,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: in
             always = np.append(np.arange(min(ALWAYS, CLASSES - 1)), CLASSES - 1)
             n_drawn = min(DRAWN, len(others))
             share = np.append(np.ones(len(always)), np.full(n_drawn, len(others) / max(n_drawn, 1)))
-            for b in batches:
-                ids, at = _arrays(b.column(0))
+            def learn(ids, at):
+                nonlocal step
                 inputs, target = _shifted(vocabulary.inp[ids], at), vocabulary.cls[ids].astype(np.int64)
                 first, _, end = windows(at, WINDOW, 0)
                 order = rng.permutation(len(first))
@@ -480,6 +486,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: in
                         m[k] += 0.1 * (d - m[k])
                         s[k] += 0.01 * (d * d - s[k])
                         net.p[k] -= np.float32(pace / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+
+            for b in batches:
+                for x, y in _blocks(b.column(0)):
+                    learn(*_arrays(b.column(0).slice(x, y - x)))
             if step:
                 yield record(step, {k: v.astype(np.float64) * step for k, v in net.p.items()})
 
@@ -542,9 +552,7 @@ def model_scores(ids: DataFrame, vocabulary: Vocabulary, model: Attention, rare_
         vocabulary, model = shared.value
         for b in batches:
             logs, pair_rows = [], []
-            sizes = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK
-            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), b.num_rows] if b.num_rows else []
-            for x, y in pairwise(cuts):
+            for x, y in _blocks(b.column(2)):
                 ids, at = _arrays(b.column(2).slice(x, y - x))
                 before = _before(ids, at)
                 p = scored(model, _shifted(vocabulary.inp[ids], at), vocabulary.cls[ids].astype(np.int64), at) / np.log(10) + vocabulary.within(ids, before)
