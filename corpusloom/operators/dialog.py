@@ -152,10 +152,10 @@ def pre_dialog_propagate(spark, sf_dir):
     return out.select("conv_id", "turn", F.size("pre_dialogs").cast("long").alias("n"), F.md5(F.array_join("pre_dialogs", "|")).alias("pre_md5"))
 
 
-@query("block_partition", "SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) AS block FROM orders WHERE o_orderkey % 5 = 0")
+@query("block_partition", "SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) AS block FROM orders")
 def block_partition(spark, sf_dir):
     """Contiguous blocks; the first ones take the remainder. Ranks are counted in key ranges, so no task holds all rows."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
     return blocks(rows, "o_orderkey", 7).select("o_orderkey", F.col("block").cast("long"))
 
 

@@ -1,6 +1,6 @@
 """All queries of the dialog-corpus operators, and their SQL."""
 
-from . import dialog, mining, texts, training  # noqa: F401
+from . import curation, dialog, geometry, mining, texts, training  # noqa: F401
 
 QUERIES = dialog.QUERIES
 ORACLE_SQL = dialog.ORACLE_SQL

@@ -155,3 +155,88 @@ def gps_to_pixel(spark, sf_dir):
     """Half-even rounding."""
     pixel = lambda v: F.bround(v / 0.5)
     return table(spark, sf_dir, "part").select("p_partkey", pixel((F.col("p_size") % 7) / 2.0).alias("x"), pixel((F.col("p_partkey") % 9) / 4.0).alias("y"))
+
+
+def schedule_phase(epoch: Column, planned: int = 375) -> Column:
+    return F.when(epoch < int(0.3 * planned), "build").when(epoch < int(0.7 * planned), "balance").when(epoch < planned, "tune").otherwise("extended")
+
+
+@query("schedule_table", "SELECT *, CASE WHEN epoch < 112 THEN 'build' WHEN epoch < 262 THEN 'balance' WHEN epoch < 375 THEN 'tune' ELSE 'extended' END AS phase FROM (SELECT epoch, curriculum::DOUBLE AS curriculum, contrastive::DOUBLE AS contrastive, ce::DOUBLE AS ce, destination::DOUBLE AS destination, kd::DOUBLE AS kd FROM (" + SCHEDULES + ")) WHERE epoch IN (0, 56, 112, 187, 262, 318, 374, 475, 2999)")
+def schedule_table(spark, sf_dir, planned: int = 375, most: int = 3000):
+    """All weights at nine key epochs, with the name of the phase."""
+    a, b = int(0.3 * planned), int(0.7 * planned)
+    epochs = [0, a // 2, a, (a + b) // 2, b, (b + planned) // 2, planned - 1, planned + 100, most - 1]
+    e = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in epochs])).alias("epoch"))
+    return e.select("epoch", *[F.round(c, 6).alias(k) for k, c in schedules.weights(F.col("epoch")).items()], schedule_phase(F.col("epoch"), planned).alias("phase"))
+
+
+@query("cosine_loss", f"SELECT round(1 - avg(list_cosine_similarity(x, p)), 6) AS loss FROM ({PAIRS})")
+def cosine_loss(spark, sf_dir):
+    return triples(spark, sf_dir).agg(F.round(1 - F.avg(cosine(F.col("x"), F.col("p"))), 6).alias("loss"))
+
+
+def normalized_mse(a: Column, b: Column) -> Column:
+    """Mean squared difference of the two vectors brought to length one."""
+    return (dot(a, a) / dot(a, a) + dot(b, b) / dot(b, b) - 2 * cosine(a, b)) / F.size(a)
+
+
+@query("normalized_mse_loss", f"SELECT round(avg(list_sum(list_transform(range(len(x)), lambda i: power(x[i + 1] / sqrt(list_inner_product(x, x)) - p[i + 1] / sqrt(list_inner_product(p, p)), 2))) / len(x)), 6) AS loss FROM ({PAIRS})")
+def normalized_mse_loss(spark, sf_dir):
+    return triples(spark, sf_dir).agg(F.round(F.avg(normalized_mse(F.col("x"), F.col("p"))), 6).alias("loss"))
+
+
+@query("infonce_multi_positive", f"SELECT round(avg(-ln(pos / (pos + exp(list_cosine_similarity(x, n) / 0.2) + 1e-12))), 6) AS loss FROM (SELECT x, n, (exp(list_cosine_similarity(x, p) / 0.2) + exp(list_cosine_similarity(x, list_transform(range(len(x)), lambda i: x[i + 1] + p[i + 1])) / 0.2)) / 2 AS pos FROM ({PAIRS}))")
+def infonce_multi_positive(spark, sf_dir):
+    """Two positives, whose exponentials are averaged, against one explicit negative."""
+    second = F.zip_with("x", "p", lambda a, b: a.cast("double") + b.cast("double"))
+    e = lambda c: F.exp(cosine(F.col("x"), c) / 0.2)
+    t = triples(spark, sf_dir).select(((e(F.col("p")) + e(second)) / 2).alias("pos"), e(F.col("n")).alias("neg"))
+    return t.agg(F.round(F.avg(-F.log(F.col("pos") / (F.col("pos") + F.col("neg") + 1e-12))), 6).alias("loss"))
+
+
+def infonce_in_batch(rows: DataFrame, temperature: float = 0.2) -> DataFrame:
+    """vec_id and loss; rows: vec_id, batch, x, p. Negatives are all anchors and positives of the batch but the anchor itself;
+    its own positive counts among them too. Batches have a fixed size, so the join within them is bounded."""
+    both = rows.select("batch", F.explode(F.array(F.struct(F.col("vec_id").alias("own"), F.col("x").alias("v")), F.struct(F.lit(None).cast("long").alias("own"), F.col("p").alias("v")))).alias("o")).select("batch", "o.*")
+    z = lambda a, b: F.exp(cosine(F.col(a), F.col(b)) / temperature)
+    met = rows.join(both, "batch").where(F.col("own").isNull() | (F.col("own") != F.col("vec_id")))
+    total = met.groupBy("vec_id").agg(F.sum(z("x", "v")).alias("all"))
+    return rows.select("vec_id", z("x", "p").alias("pos")).join(total, "vec_id").select("vec_id", (-F.log(F.col("pos") / (F.col("pos") + F.col("all") + 1e-12))).alias("loss"))
+
+
+@query("infonce_in_batch", f"WITH t AS (SELECT *, vec_id // 25 AS b FROM ({PAIRS})), o AS (SELECT b, vec_id AS own, x AS v FROM t UNION ALL SELECT b, NULL, p FROM t), s AS (SELECT t.vec_id, any_value(exp(list_cosine_similarity(x, p) / 0.2)) AS pos, sum(exp(list_cosine_similarity(x, v) / 0.2)) AS neg FROM t JOIN o ON t.b = o.b AND (own IS NULL OR own <> t.vec_id) GROUP BY 1) SELECT round(avg(-ln(pos / (pos + neg + 1e-12))), 6) AS loss FROM s")
+def q_infonce_in_batch(spark, sf_dir):
+    t = triples(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 25).alias("batch"), "x", "p")
+    return infonce_in_batch(t).agg(F.round(F.avg("loss"), 6).alias("loss"))
+
+
+LOSSES = {"triplet": lambda x, p, n: triplet_loss(x, p, n), "triplet_l2": lambda x, p, n: triplet_loss(x, p, n, distance="l2"), "infonce": lambda x, p, n: -F.log(F.exp(cosine(x, p) / 0.2) / (F.exp(cosine(x, p) / 0.2) + F.exp(cosine(x, n) / 0.2))), "cosine": lambda x, p, n: 1 - cosine(x, p), "mse": lambda x, p, n: normalized_mse(x, p)}
+
+
+def loss_of(kind: str, x: Column, p: Column, n: Column) -> Column:
+    """The loss of a name."""
+    if kind not in LOSSES:
+        raise ValueError(f"unknown loss {kind!r}; there are {', '.join(LOSSES)}")
+    return LOSSES[kind](x, p, n)
+
+
+@query("loss_dispatch", f"SELECT round(avg(greatest(0, list_cosine_similarity(x, n) - list_cosine_similarity(x, p) + 0.5)), 6) AS triplet, round(avg(greatest(0, power(list_distance(x, p), 2) - power(list_distance(x, n), 2) + 0.5)), 6) AS triplet_l2, round(avg(-ln(exp(list_cosine_similarity(x, p) / 0.2) / (exp(list_cosine_similarity(x, p) / 0.2) + exp(list_cosine_similarity(x, n) / 0.2)))), 6) AS infonce, round(avg(1 - list_cosine_similarity(x, p)), 6) AS cosine FROM ({PAIRS})")
+def loss_dispatch(spark, sf_dir):
+    t = triples(spark, sf_dir)
+    return t.agg(*(F.round(F.avg(loss_of(k, F.col("x"), F.col("p"), F.col("n"))), 6).alias(k) for k in ("triplet", "triplet_l2", "infonce", "cosine")))
+
+
+def masked_mean(values: Column, mask: Column) -> Column:
+    """Mean of the vectors whose mask is 1; zeros where none is."""
+    real = F.filter(F.arrays_zip(values.alias("v"), mask.alias("m")), lambda r: r["m"] == 1)
+    n = F.greatest(F.size(real), F.lit(1))
+    zero = F.transform(values[0], lambda x: F.lit(0.0))
+    return F.transform(F.aggregate(real, zero, lambda s, r: F.zip_with(s, r["v"], lambda a, b: a + b)), lambda x: x / n)
+
+
+@query("masked_mean_pool", f"SELECT vec_id, round(CASE m WHEN 0 THEN 0 WHEN 1 THEN x[1] WHEN 2 THEN (x[1] + p[1]) / 2 ELSE (x[1] + p[1] + n[1]) / 3 END, 6) AS first, round(CASE m WHEN 0 THEN 0 WHEN 1 THEN x[64] WHEN 2 THEN (x[64] + p[64]) / 2 ELSE (x[64] + p[64] + n[64]) / 3 END, 6) AS last FROM (SELECT *, vec_id % 4 AS m FROM ({PAIRS}))")
+def masked_mean_pool(spark, sf_dir):
+    d = lambda c: F.transform(c, lambda v: v.cast("double"))
+    mask = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: (i < F.col("vec_id") % 4).cast("int"))
+    x = triples(spark, sf_dir).select("vec_id", F.array(d("x"), d("p"), d("n")).alias("v"), mask.alias("m")).select("vec_id", masked_mean(F.col("v"), F.col("m")).alias("f"))
+    return x.select("vec_id", F.round(F.col("f")[0], 6).alias("first"), F.round(F.col("f")[63], 6).alias("last"))
