@@ -89,15 +89,17 @@ def canonical(feature: Column, groups: dict) -> Column:
 
 
 def features(x: Column, category: str, lexicon: dict = L.EVAL, canonicalize: bool = True) -> Column:
-    """Sorted distinct features of a category."""
+    """Sorted distinct features of a category. Patterns are literals, so each is compiled once; names are looked up here."""
     terms, groups = lexicon[category]
+    first: dict[str, str] = {}
+    for name, members in groups.items() if canonicalize else ():
+        for m in members:
+            first.setdefault(m, name)
     t = F.lower(x)
-    found = F.filter(strings(terms), lambda w: F.regexp_like(t, F.concat(F.lit("\\b"), w, F.lit("\\b"))))
+    found = F.filter(F.array(*[F.when(t.contains(w) & t.rlike(f"\\b{w}\\b"), first.get(w, w)) for w in terms]), lambda w: w.isNotNull())
     if category == "directions":
         clock = "(?:\\d+\\s*|(?:" + "|".join(L.CLOCK_WORDS) + ")\\s+)o'?clock"
-        found = F.concat(F.regexp_extract_all(t, F.lit(clock), 0), found)
-    if canonicalize:
-        found = F.transform(found, lambda w: canonical(w, groups))
+        found = F.concat(F.when(t.contains("clock"), F.regexp_extract_all(t, F.lit(clock), 0)).otherwise(F.array().cast("array<string>")), found)
     return F.array_sort(F.array_distinct(found))
 
 
@@ -105,6 +107,18 @@ def _groups(groups: dict) -> Column:
     return F.array(*[strings(g) for g in groups.values()])
 
 
+def synonyms(groups: dict, terms: list[str]) -> Column:
+    """Map of each grouped feature to the features of the lexicon that hold a member of one of its groups."""
+    known = sorted({*terms, *groups, *(m for g in groups.values() for m in g)})
+    near = {f: [p for p in known if any(f in g and any(x in p for x in g) for g in groups.values())] for f in sorted({m for g in groups.values() for m in g})}
+    return F.create_map(*[c for f, ps in near.items() for c in (F.lit(f), strings(ps))])
+
+
+def matched(gold: Column, other: Column, near: Column) -> Column:
+    """Share of gold features that stand in other, themselves or by a synonym."""
+    return let(F.struct(gold.alias("g"), other.alias("o"), near.alias("n")), lambda s: F.size(F.filter(s["g"], lambda f: F.array_contains(s["o"], f) | F.coalesce(F.arrays_overlap(s["n"][f], s["o"]), F.lit(False)))) / F.size(s["g"]))
+
+
 def _recall(gold: Column, hit) -> Column:
     return F.size(F.filter(gold, hit)) / F.size(gold)
 
@@ -119,10 +133,9 @@ def direction_score(pred: Column, gold: Column) -> Column:
         return F.when((number >= 1) & (number <= 12), number)
 
     hours = lambda a: F.array_sort(F.array_distinct(F.filter(F.transform(a, hour), lambda h: h.isNotNull())))
-    near = lambda g: F.array_contains(pred, g) | F.exists(_groups(L.DIRECTION_GROUPS), lambda s: F.array_contains(s, g) & F.exists(pred, lambda p: F.exists(s, lambda x: p.contains(x))))
     clock = F.when((F.size(hours(gold)) > 0) & (hours(gold) == hours(pred)), 1.0).otherwise(0.0)
     none = lambda a: F.size(a) == 0
-    return F.when(none(gold) & none(pred), 1.0).when(none(gold) | none(pred), 0.0).otherwise(F.greatest(clock, _recall(gold, near)))
+    return F.when(none(gold) & none(pred), 1.0).when(none(gold) | none(pred), 0.0).otherwise(F.greatest(clock, matched(gold, pred, synonyms(L.DIRECTION_GROUPS, L.DIRECTIONS))))
 
 
 def yesno_score(pred: Column, gold: Column) -> Column:
@@ -137,9 +150,8 @@ def attribute_score(pred_colors: Column, gold_colors: Column, pred_shapes: Colum
 
 def landmark_score(pred: Column, gold: Column) -> Column:
     p, g = F.array_join(pred, " "), F.array_join(gold, " ")
-    near = lambda x: F.exists(_groups(L.LANDMARK_GROUPS), lambda s: F.array_contains(s, x) & F.exists(pred, lambda q: F.exists(s, lambda y: q.contains(y))))
     squeeze = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    return F.when((F.size(gold) == 0) | (F.size(pred) == 0), 0.0).when(squeeze(p) == squeeze(g), 1.0).when(p.contains(g) | g.contains(p), 0.8).otherwise(_recall(gold, near))
+    return F.when((F.size(gold) == 0) | (F.size(pred) == 0), 0.0).when(squeeze(p) == squeeze(g), 1.0).when(p.contains(g) | g.contains(p), 0.8).otherwise(matched(gold, pred, synonyms(L.LANDMARK_GROUPS, L.LANDMARKS)))
 
 
 def movement_score(pred: Column, gold: Column) -> Column:

@@ -313,10 +313,9 @@ def lexicon_union(spark, sf_dir):
 def validator_direction(a: Column, b: Column) -> Column:
     """As the evaluator's, over features as found: hours compare as written, none on either side is 1."""
     hours = lambda x: F.array_sort(F.array_distinct(F.filter(F.transform(x, T.clock_hour_raw), lambda h: h.isNotNull())))
-    near = lambda g: F.array_contains(b, g) | F.exists(T._groups(L.DIRECTION_GROUPS), lambda s: F.array_contains(s, g) & F.exists(b, lambda p: F.exists(s, lambda y: p.contains(y))))
     clock = F.when((F.size(hours(a)) > 0) & (hours(a) == hours(b)), 1.0).otherwise(0.0)
     none = lambda x: F.size(x) == 0
-    return F.when(none(a) & none(b), 1.0).when(none(a) | none(b), 0.0).otherwise(F.greatest(clock, T._recall(a, near)))
+    return F.when(none(a) & none(b), 1.0).when(none(a) | none(b), 0.0).otherwise(F.greatest(clock, T.matched(a, b, T.synonyms(L.DIRECTION_GROUPS, L.DIRECTIONS))))
 
 
 def validator_landmark(a: Column, b: Column) -> Column:

@@ -64,8 +64,8 @@ def prev_observations(spark, sf_dir):
 
 @query("episode_ids", "SELECT doc_id, source || '_' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS episode_id FROM documents")
 def episode_ids(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("_"), n.cast("string")).alias("episode_id"))
+    ranked = ranks(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "source")
+    return ranked.select("doc_id", F.concat("source", F.lit("_"), (F.col("rank") + 1).cast("string")).alias("episode_id"))
 
 
 def segment_episodes(rows: DataFrame, group: str, order: str, length: str) -> DataFrame:
@@ -159,13 +159,22 @@ def block_partition(spark, sf_dir):
     return blocks(rows, "o_orderkey", 7).select("o_orderkey", F.col("block").cast("long"))
 
 
-def global_rank(rows: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """rows with rank (from 0) by an integer key, counted in ranges of keys."""
-    ranged = rows.withColumn("_r", F.floor(F.col(key) / width))
-    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_b"))  # a row for each range
-    inner = F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1
-    return ranged.withColumn("_i", inner).join(before, "_r").withColumn("rank", F.col("_i") + F.col("_b")).drop("_r", "_i", "_b")
+def ranks(rows: DataFrame, key: str, *group: str, bits: int = 12) -> DataFrame:
+    """rows with rank (from 0) by an integer key, in each group. Rows are counted in ranges of 2^bits keys, ranges in ranges
+    of ranges, so that no task holds a group's rows: the last level has a row for 2^(2 bits) keys."""
+    width = lambda c: F.shiftright(c, bits)
+    near, far = "_near", "_far"
+    ranged = rows.withColumn(near, width(F.col(key).cast("long"))).withColumn(far, width(F.col(near)))
+    sizes = ranged.groupBy(*group, far, near).agg(F.count(F.lit(1)).alias("_n"))
+    before = lambda by, *part: F.sum("_n").over(Window.partitionBy(*part).orderBy(by)) - F.col("_n")
+    wide = sizes.groupBy(*group, far).agg(F.sum("_n").alias("_n"))
+    offsets = sizes.withColumn("_a", before(near, *group, far)).join(wide.withColumn("_b", before(far, *group) if group else before(far, F.lit(0))).drop("_n"), [*group, far]).select(*group, near, (F.col("_a") + F.col("_b")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*group, near).orderBy(key)) - 1
+    return ranged.withColumn("_i", inner).join(offsets, [*group, near]).withColumn("rank", F.col("_i") + F.col("_before")).drop(near, far, "_i", "_before")
+
+
+def global_rank(rows: DataFrame, key: str) -> DataFrame:
+    return ranks(rows, key)
 
 
 def blocks(rows: DataFrame, key: str, n: int) -> DataFrame:

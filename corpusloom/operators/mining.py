@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from ..streaming.limiter import greedy
 from .dialog import query, table
 
 BLOCK = 4096
@@ -24,7 +25,9 @@ def knn(vectors: DataFrame, k: int, key: str = "vec_id", value: str = "embedding
     count = x.count()
     n = max(1, -(-count // block))
     packed = x.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list("id").alias("ids"), F.collect_list(F.coalesce("goal", F.lit(0))).alias("goals"), F.flatten(F.collect_list("v")).alias("vs"))
-    grid = packed.join(packed.select(F.col("b").alias("c"), F.col("ids").alias("ids2"), F.col("goals").alias("goals2"), F.col("vs").alias("vs2")))  # blocks against blocks, a stated query set against all rows
+    # each block of queries is sent once to each block of the corpus, by an equi-join on the latter's number
+    queries = packed.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).drop("b")
+    grid = queries.join(packed.select(F.col("b").cast("int").alias("c"), F.col("ids").alias("ids2"), F.col("goals").alias("goals2"), F.col("vs").alias("vs2")), "c")
 
     def run(batches):
         for batch in batches:
@@ -75,21 +78,36 @@ def partner(vectors: DataFrame) -> DataFrame:
     return vectors.crossJoin(n).select("vec_id", ((F.col("vec_id") * 7 + 3) % F.col("n")).alias("j")).join(text, "j").drop("j")
 
 
-def hard_negatives(vectors: DataFrame, texts: DataFrame, k: int = 100, low: float = 0.15, tiers: tuple = (0.2, 0.3, 0.4)) -> DataFrame:
-    """The visually nearest of k neighbours with another goal whose text similarity passes the first threshold that any passes."""
-    near = knn(vectors, k, other_goal="label", floor=low).select("vec_id", "other", "rank")
+def candidates(vectors: DataFrame, texts: DataFrame, k: int = 100, low: float = 0.15, tiers: tuple = (0.2, 0.3, 0.4), good: DataFrame | None = None) -> DataFrame:
+    """vec_id, other, rank and tier: those of the k visually nearest rows that have another goal, pass the answer test (good:
+    keys that do) and a text threshold, the first of which is the tier. The k nearest are taken before any is left out."""
+    labels = vectors.select("vec_id", "label")
+    near = knn(vectors, k, floor=low).select("vec_id", "other", "rank")
+    near = near.join(labels.withColumnRenamed("label", "l1"), "vec_id").join(labels.select(F.col("vec_id").alias("other"), F.col("label").alias("l2")), "other").where("l1 <> l2")
+    if good is not None:
+        near = near.join(good.select(F.col("vec_id").alias("other")), "other", "left_semi")
     x = near.join(texts.withColumnRenamed("text", "t1"), "vec_id").join(texts.select(F.col("vec_id").alias("other"), F.col("text").alias("t2")), "other")
     x = x.withColumn("ts", F.round(cosine(F.col("t1"), F.col("t2")), 9))
     tier = F.lit(None).cast("int")
     for i in reversed(range(len(tiers))):
         tier = F.when(F.col("ts") < tiers[i], i + 1).otherwise(tier)
-    return x.withColumn("tier", tier).where("tier is not null").groupBy("vec_id").agg(F.min(F.struct("tier", "rank", "other")).alias("m")).select("vec_id", F.col("m.other").alias("negative"), F.col("m.tier").cast("long").alias("tier"))
+    return x.withColumn("tier", tier).where("tier is not null").select("vec_id", "other", "rank", "tier")
+
+
+def hard_negatives(vectors: DataFrame, texts: DataFrame, **options) -> DataFrame:
+    """The visually nearest candidate of the first tier that has any."""
+    found = candidates(vectors, texts, **options)
+    return found.groupBy("vec_id").agg(F.min(F.struct("tier", "rank", "other")).alias("m")).select("vec_id", F.col("m.other").alias("negative"), F.col("m.tier").cast("long").alias("tier"))
 
 
 TXT = f"(SELECT a.vec_id, b.e AS t FROM {E2} a JOIN {E2} b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings))"
 
 
-@query("hard_negative_independent", f"WITH n AS (SELECT * FROM {RANKED.format('WHERE l1 <> l2 AND s >= 0.15')} WHERE r <= 20), c AS (SELECT n.*, round(list_cosine_similarity(x.t, y.t), 9) AS ts FROM n JOIN {TXT} x ON x.vec_id = n.vec_id JOIN {TXT} y ON y.vec_id = n.other), t AS (SELECT *, CASE WHEN ts < 0.2 THEN 1 WHEN ts < 0.3 THEN 2 WHEN ts < 0.4 THEN 3 END AS tier FROM c) SELECT vec_id, other AS negative, tier::BIGINT AS tier FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY tier, r) = 1")
+def _hard_sql(good: str = "true") -> str:
+    return f"(WITH n AS (SELECT * FROM {RANKED.format('')} WHERE r <= 100 AND l1 <> l2 AND s >= 0.15 AND {good}), c AS (SELECT n.*, round(list_cosine_similarity(x.t, y.t), 9) AS ts FROM n JOIN {TXT} x ON x.vec_id = n.vec_id JOIN {TXT} y ON y.vec_id = n.other), t AS (SELECT *, CASE WHEN ts < 0.2 THEN 1 WHEN ts < 0.3 THEN 2 WHEN ts < 0.4 THEN 3 END AS tier FROM c) SELECT vec_id, other AS negative, tier::BIGINT AS tier FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY tier, r) = 1)"
+
+
+@query("hard_negative_independent", f"SELECT * FROM {_hard_sql()}")
 def hard_negative_independent(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return hard_negatives(e, partner(e))
@@ -107,7 +125,7 @@ def nearest_of(queries: DataFrame, corpus: DataFrame, block: int = BLOCK) -> Dat
     """The best match in corpus for each query, of another label."""
     n = max(1, -(-corpus.count() // block))
     pack = lambda df: df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("b")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list(F.col("label").cast("long")).alias("goals"), F.flatten(F.collect_list(F.transform("embedding", lambda x: x.cast("double")))).alias("vs"))
-    grid = pack(queries).join(pack(corpus).select(*[F.col(c).alias(c + "2") for c in ("ids", "goals", "vs")]))
+    grid = pack(queries).drop("b").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(pack(corpus).select(F.col("b").cast("int").alias("c"), *[F.col(x).alias(x + "2") for x in ("ids", "goals", "vs")]), "c")
 
     def run(batches):
         for batch in batches:
@@ -139,3 +157,67 @@ def cluster_transition(spark, sf_dir):
     labels = e.select("vec_id", "label")
     x = knn(e, 5).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("other"), F.col("label").alias("l2")), "other")
     return x.agg(F.round(F.avg((F.col("label") != F.col("l2")).cast("int")), 6).alias("ratio"))
+
+
+_GOOD = "other % 17 <> 0"
+_DIVERSE = f"(SELECT vec_id, other AS negative FROM {SIM} WHERE l1 <> l2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12), other) = 1)"
+_DRIVER = f"(SELECT e.vec_id, coalesce(h.negative, d.negative) AS negative, CASE WHEN h.negative IS NOT NULL THEN 'hard' WHEN d.negative IS NOT NULL THEN 'diverse' END AS kind, h.tier FROM embeddings e LEFT JOIN {_hard_sql(_GOOD)} h USING (vec_id) LEFT JOIN {_DIVERSE} d USING (vec_id))"
+
+
+def mined(spark, sf_dir) -> DataFrame:
+    """Hard negatives first; anchors without one get a diverse one. Stand-in of the answer test: keys that 17 doesn't divide."""
+    e = table(spark, sf_dir, "embeddings")
+    hard = hard_negatives(e, partner(e), good=e.where("vec_id % 17 <> 0").select("vec_id"))
+    diverse = diverse_negative(spark, sf_dir).withColumnRenamed("negative", "other")
+    x = e.select("vec_id").join(hard, "vec_id", "left").join(diverse, "vec_id", "left")
+    return x.select("vec_id", F.coalesce("negative", "other").alias("negative"), F.when(F.col("negative").isNotNull(), "hard").when(F.col("other").isNotNull(), "diverse").alias("kind"), "tier")
+
+
+@query("mining_driver", f"SELECT * FROM {_DRIVER}")
+def mining_driver(spark, sf_dir):
+    return mined(spark, sf_dir)
+
+
+@query("mining_counters", f"SELECT count(*) AS attempts, count(negative) AS mined, count(*) FILTER (kind = 'hard') AS hard, count(*) FILTER (kind = 'hard' AND tier > 2) AS relaxed, count(*) FILTER (kind = 'diverse') AS fallbacks, round(count(negative) / count(*)::DOUBLE, 6) AS rate FROM {_DRIVER}")
+def mining_counters(spark, sf_dir):
+    x = mined(spark, sf_dir)
+    every = F.count(F.lit(1))
+    return x.agg(every.alias("attempts"), F.count("negative").alias("mined"), F.count_if(F.col("kind") == "hard").alias("hard"), F.count_if((F.col("kind") == "hard") & (F.col("tier") > 2)).alias("relaxed"), F.count_if(F.col("kind") == "diverse").alias("fallbacks"), F.round(F.count("negative") / every, 6).alias("rate"))
+
+
+@query("mining_lengths", f"SELECT kind, round(avg(length('go to ' || negative * 37)), 6) AS mean, round(stddev_pop(length('go to ' || negative * 37)), 6) AS std FROM {_DRIVER} WHERE negative IS NOT NULL GROUP BY 1")
+def mining_lengths(spark, sf_dir):
+    """Mean and deviation of the lengths of mined answers."""
+    x = mined(spark, sf_dir).where("negative is not null").withColumn("n", F.length(F.concat(F.lit("go to "), (F.col("negative") * 37).cast("string"))))
+    return x.groupBy("kind").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("std"))
+
+
+def limited(found: DataFrame, phrases: DataFrame, window: int = 1000) -> DataFrame:
+    """anchor and other: candidates by tier and rank through the phrase limiter. phrases: vec_id, phrase."""
+    x = found.join(phrases.select(F.col("vec_id").alias("other"), "phrase"), "other")
+    return greedy(x.select(F.col("vec_id").alias("anchor"), (F.col("tier") * 1_000_000 + F.col("rank")).alias("rank"), "other", "phrase"), window)
+
+
+@query("mining_limited")
+def mining_limited(spark, sf_dir):
+    """Greedy in the order of anchors: SQL has no form of it; tests hold it against a loop."""
+    e = table(spark, sf_dir, "embeddings")
+    phrases = e.select("vec_id", F.concat(F.lit("phrase "), (F.col("vec_id") % 40).cast("string")).alias("phrase"))
+    return limited(candidates(e, partner(e)), phrases)
+
+
+def clusters(vectors: DataFrame, k: int = 30, seed: int = 42, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+    """key and cluster by k-means; with fewer rows than clusters, a hash of the key."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    if vectors.limit(k).count() < k:
+        return vectors.select(key, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int").alias("cluster"))
+    x = vectors.select(key, array_to_vector(F.transform(value, lambda v: v.cast("double"))).alias("features"))
+    return KMeans(k=k, seed=seed, maxIter=20).fit(x).transform(x).select(key, F.col("prediction").alias("cluster"))
+
+
+@query("kmeans_clusters")
+def kmeans_clusters(spark, sf_dir):
+    """Labels of clusters depend on the library: rows only, tests check the partition."""
+    return clusters(table(spark, sf_dir, "embeddings"))
