@@ -105,3 +105,18 @@ def passing(judged: DataFrame) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+#: The query in DuckDB: windows of three words are compared as strings.
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+ g AS (SELECT r, unnest(range(len(w) - 2)) AS i, unnest(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) AS gram FROM d WHERE len(w) > 2),
+ h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+ c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM h) GROUP BY r),
+ l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+ s AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(lines) AS n_lines, len(list_filter(w, lambda x: ends_with(x, '!'))) AS n_exclaimed, len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}{{2}}[^\\p{{Ll}}]*$'))) AS n_upper, len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop, len(list_filter(lines, lambda x: ends_with(rtrim(x, ' '), '...') OR ends_with(rtrim(x, ' '), '…'))) AS n_ellipsis
+  FROM d JOIN l USING (r) LEFT JOIN c USING (r))
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR n_repeat_words > 0.5::DOUBLE * n_words OR n_symbols > 0.1::DOUBLE * n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR n_exclaimed > 0.15::DOUBLE * n_words OR n_upper > 0.4::DOUBLE * n_words OR n_stop < 0.01::DOUBLE * n_words OR n_dup_lines > 0.8::DOUBLE * n_lines OR n_ellipsis > 0.5::DOUBLE * n_lines) AS kept FROM s"""

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat_format, decontamination, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, url_filter
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
@@ -20,4 +17,4 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_chat_format": chat_format.SQL}
