@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores is dealt to all of them, for work that costs much a row; others stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def split_of(key: Column) -> Column:
     return F.when(F.pmod(key, F.lit(10)) == 8, "val_seen").when(F.pmod(key, F.lit(10)) == 9, "val_unseen").otherwise("train")
 

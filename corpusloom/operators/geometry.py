@@ -176,7 +176,7 @@ def extract_views(rows: DataFrame, images_: DataFrame, height: int, width: int,
 
     def run(group: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
         if not len(image) or not len(group):
-            return pd.DataFrame({key: group[key][:0], "view": []})
+            return pd.DataFrame({key: group[key][:0] if len(group) else pd.Series(dtype="int64"), "view": pd.Series(dtype=object)})
         i = image.iloc[0]
         plane = np.asarray(i["pixels"], float).reshape(i["h"], i["w"])
         views = [warp(plane, np.array([list(p) for p in c], float), height, width).ravel().tolist() for c in group["corners"]]

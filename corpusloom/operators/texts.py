@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from .dialog import query, split_of, table
+from .dialog import query, split_of, spread, table
 
 
 def lst(values) -> str:
@@ -23,7 +23,8 @@ TEXT = "'[QUE] which way to the ' || p_name || '? [INS] turn ' || CASE p_size %
 
 def instructions(spark, sf_dir) -> DataFrame:
     pick = lambda k, n, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col(k) % n).cast("int") + 1)
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat(F.lit("[QUE] which way to the "), "p_name", F.lit("? [INS] turn "), pick("p_size", 4, "left", "right", "north", "northeast"), F.lit(" to your "), (F.col("p_size") % 14).cast("string"), pick("p_size", 3, "'o clock", " o'clock", "o'clock"), F.lit(", grey "), pick("p_partkey", 5, "building", "structure", "parking lot", "square  house", "road"), F.lit(" near the road")).alias("t"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"))
+    return part.select("p_partkey", "p_size", F.concat(F.lit("[QUE] which way to the "), "p_name", F.lit("? [INS] turn "), pick("p_size", 4, "left", "right", "north", "northeast"), F.lit(" to your "), (F.col("p_size") % 14).cast("string"), pick("p_size", 3, "'o clock", " o'clock", "o'clock"), F.lit(", grey "), pick("p_partkey", 5, "building", "structure", "parking lot", "square  house", "road"), F.lit(" near the road")).alias("t"))
 
 
 I = f"(SELECT p_partkey, p_size, {TEXT} AS t FROM part)"
