@@ -3,7 +3,8 @@
 A window of a document with as many words as a benchmark item is a leak of it if their weighted similarity (of counts of
 shingles: sum of minima over sum of maxima) is `threshold` or more; shingles have `size` words, or all of a shorter
 item's.
-1. Only documents that share at least threshold of an item's shingles can hold such a window. A shared shingle at place p
+1. An exact filter that drops no window: similarity is at most shared shingles over the item's, so only documents that share
+   at least threshold of an item's shingles can hold such a window. A shared shingle at place p
    of the document and q of the item is in line with a start at p - q. These are parted where they lie so far apart that
    no window holds shingles of both sides; a window that starts before the least or after the greatest of such a cluster
    loses no shared shingle when it moves there, so all starts from the least to the greatest are tried.
@@ -78,7 +79,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         mine = listed.where(F.least(F.lit(size), "n") == m).withColumn("hs", shingle_hashes(F.col("w"), m)).select("item_id", "n", "hs", simhash(F.col("hs")).alias("item_fp"))
         mine = materialize(mine)
         places = mine.select("item_id", "n", F.size("hs").alias("total"), F.posexplode("hs").alias("q", "h"))
-        n_places = places.count()
+        n_places, n_items = places.count(), mine.count()
         shingles = keyed.select("k", F.posexplode(let(words(F.col("t")), lambda w: shingle_hashes(w, m))).alias("p", "h"))
         hits = materialize(shingles.join(_sized(places, n_places), "h").select("k", "item_id", "n", "total", (F.col("p") - F.col("q")).alias("at")).groupBy("k", "item_id", "n", "total", "at").agg(F.count(F.lit(1)).alias("c")))
         enough = hits.groupBy("k", "item_id").agg(F.sum("c").alias("c"), F.max("total").alias("total")).where(F.col("c") >= threshold * F.col("total")).select("k", "item_id")
@@ -86,8 +87,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         apart = hits.join(enough, ["k", "item_id"], "left_semi").withColumn("cut", (F.col("at") - F.lag("at").over(by_start) > 2 * (F.col("total") - 1)).cast("int"))
         clusters = apart.withColumn("cluster", F.sum(F.coalesce("cut", F.lit(0))).over(by_start)).groupBy("k", "item_id", "n", "cluster").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("c").alias("c"), F.max("total").alias("total")).where(F.col("c") >= threshold * F.col("total"))
         starts = materialize(clusters.groupBy("k").agg(F.collect_set(F.struct("n", "lo", "hi")).alias("at")))
-        n_docs = starts.count()
-        held = keyed.join(_sized(starts, n_docs), "k").select("k", "key", "at", words(F.col("t")).alias("w")).dropDuplicates(["k"])
+        n_starts = starts.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+        held = keyed.join(_sized(starts, n_starts), "k").select("k", "key", "at", words(F.col("t")).alias("w")).dropDuplicates(["k"])
         hashed = held.select("k", "key", F.size("w").alias("len"), shingle_hashes(F.col("w"), m).alias("hs"), "at")
         clamp = lambda at, n: F.greatest(F.lit(0), F.least(at, F.col("len") - n))
         tried = F.flatten(F.transform("at", lambda x: F.transform(F.sequence(clamp(x["lo"], x["n"]), clamp(x["hi"], x["n"])), lambda s: F.struct(x["n"].alias("n"), s.alias("start")))))
@@ -96,7 +97,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         window = materialize(window.withColumn("fp", simhash(F.col("hs"))))
         cut = window.select("k", "n", "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("k", "n", "start", "fp", "b.*")
         indexed = mine.select("item_id", "n", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b")).select("item_id", "n", "item_fp", "b.*")
-        near = cut.join(_sized(indexed, n_places), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("k", "n", "start", "item_id", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct()
+        near = cut.join(_sized(indexed, n_items * (radius + 1)), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("k", "n", "start", "item_id", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct()
         judged = near.join(window.select("k", "key", "n", "start", "hs"), ["k", "n", "start"]).join(_sized(mine.select("item_id", "n", F.col("hs").alias("item_hs")), n_places), ["item_id", "n"])
         found = judged.withColumn("similarity", similarity(F.col("hs"), F.col("item_hs"))).where(F.col("similarity") >= threshold)
         best = found.groupBy("k", "key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"), "n")).alias("b"))

@@ -34,16 +34,25 @@ def splitters(rows: DataFrame, total: int, ranges: int, over: int = 24, bounds:
     """Sorted boundaries of about so many ranges of near equal bytes; about `over` samples stand for each range."""
     want = float(total) / ranges / over  # bytes for each sample
     chance = F.xxhash64("key", "size", F.lit(rounds)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
-    sample = lambda df: sorted(r.key for r in df.where(chance * want < F.col("size")).select("key").collect())  # noqa: E731  about ranges * over keys
+
+    def sample(df: DataFrame, step: int) -> list[int]:
+        """Every step-th of the drawn keys; copies come as one row with a weight."""
+        drawn = df.where(chance * want < F.col("size")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy("key").collect()  # about ranges * over keys at most
+        out, seen = [], 0
+        for r in drawn:
+            if (seen + r.n) // step > seen // step:
+                out.append(r.key)
+            seen += r.n
+        return out
+
     if bounds is None:
-        keys = sample(rows)
-        bounds = sorted(set(keys[over::over]))
+        bounds = sample(rows, over)
     sizes = rows.groupBy(_search(F.col("key"), bounds).alias("r")).agg(F.sum("size").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi"))
     full = [r.r for r in sizes.where((F.col("b") > 2.0 * total / ranges) & (F.col("lo") < F.col("hi"))).collect()]
     if not full or not rounds:
         return bounds
-    more = sample(rows.where(_search(F.col("key"), bounds).isin(full)))
-    return splitters(rows, total, ranges, over, sorted({*bounds, *more[over // 2 :: over // 2]}), rounds - 1)
+    more = sample(rows.where(_search(F.col("key"), bounds).isin(full)), over // 2)
+    return splitters(rows, total, ranges, over, sorted({*bounds, *more}), rounds - 1)
 
 
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
