@@ -114,9 +114,10 @@ def synonyms(groups: dict, terms: list[str]) -> Column:
     return F.create_map(*[c for f, ps in near.items() for c in (F.lit(f), strings(ps))])
 
 
-def matched(gold: Column, other: Column, near: Column) -> Column:
-    """Share of gold features that stand in other, themselves or by a synonym."""
-    return let(F.struct(gold.alias("g"), other.alias("o"), near.alias("n")), lambda s: F.size(F.filter(s["g"], lambda f: F.array_contains(s["o"], f) | F.coalesce(F.arrays_overlap(s["n"][f], s["o"]), F.lit(False)))) / F.size(s["g"]))
+def matched(gold: Column, other: Column, near: Column, exact: bool = True) -> Column:
+    """Share of gold features that stand in other by a synonym or, if exact, themselves."""
+    itself = lambda s, f: F.array_contains(s["o"], f) if exact else F.lit(False)
+    return let(F.struct(gold.alias("g"), other.alias("o"), near.alias("n")), lambda s: F.size(F.filter(s["g"], lambda f: itself(s, f) | F.coalesce(F.arrays_overlap(s["n"][f], s["o"]), F.lit(False)))) / F.size(s["g"]))
 
 
 def _recall(gold: Column, hit) -> Column:
@@ -151,7 +152,7 @@ def attribute_score(pred_colors: Column, gold_colors: Column, pred_shapes: Colum
 def landmark_score(pred: Column, gold: Column) -> Column:
     p, g = F.array_join(pred, " "), F.array_join(gold, " ")
     squeeze = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    return F.when((F.size(gold) == 0) | (F.size(pred) == 0), 0.0).when(squeeze(p) == squeeze(g), 1.0).when(p.contains(g) | g.contains(p), 0.8).otherwise(matched(gold, pred, synonyms(L.LANDMARK_GROUPS, L.LANDMARKS)))
+    return F.when((F.size(gold) == 0) | (F.size(pred) == 0), 0.0).when(squeeze(p) == squeeze(g), 1.0).when(p.contains(g) | g.contains(p), 0.8).otherwise(matched(gold, pred, synonyms(L.LANDMARK_GROUPS, L.LANDMARKS), exact=False))
 
 
 def movement_score(pred: Column, gold: Column) -> Column:
