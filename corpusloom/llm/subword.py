@@ -40,8 +40,7 @@ class Subwords:
         self.size = max(vocab.values()) + 1
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order.astype(np.int32)
+        self._index(keys)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int32)
@@ -58,10 +57,36 @@ class Subwords:
         kind[48:58] = 2
         self.kind = kind
 
+    def _index(self, keys: np.ndarray) -> None:
+        """A table by hash, an eighth full at most: a key lies in the first free slot from its own on."""
+        self.bits = max(int(len(keys)).bit_length() + 3, 4)
+        self.keys, self.rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int32)
+        rest = np.arange(len(keys), dtype=np.int32)
+        at = self._slot(keys)
+        while len(rest):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.rank[at[won]] = keys[rest[won]], rest[won]
+            rest, at = np.delete(rest, won), np.delete(at, won) + 1 & len(self.keys) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 16 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], _NONE)
+        at = self._slot(key)
+        got = self.keys[at]
+        out = np.where(got == key, self.rank[at], _NONE)
+        left = np.nonzero((got != key) & (got >= 0))
+        while len(left[0]):
+            at[left] = at[left] + 1 & len(self.keys) - 1
+            got = self.keys[at[left]]
+            hit = got == key[left]
+            out[tuple(i[hit] for i in left)] = self.rank[at[tuple(i[hit] for i in left)]]
+            more = ~hit & (got >= 0)
+            left = tuple(i[more] for i in left)
+        return out
 
     def merge(self, sym: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Merges each row, a word of so many symbols; (rows, their ids) by the number of ids."""
