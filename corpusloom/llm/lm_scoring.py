@@ -62,6 +62,7 @@ class Attention:
 
     def __init__(self, inputs: int = INPUTS + 2, width: int = WIDTH, classes: int = CLASSES, window: int = WINDOW, seed: int = 5, prior: np.ndarray | None = None):
         self.prior = np.zeros((inputs, classes), np.float32) if prior is None else prior
+        self._across = None
         rng = np.random.default_rng(seed)
         normal = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0] if len(s) > 1 else 1)).astype(np.float32)
         self.p = {"emb": rng.standard_normal((inputs, width)).astype(np.float32) * 0.3, "pos": rng.standard_normal((window, width)).astype(np.float32) * 0.1, "q": normal(width, width), "k": normal(width, width), "v": normal(width, width), "out": normal(width, classes) * np.float32(0.1), "bias": np.zeros(classes, np.float32)}
@@ -126,63 +127,79 @@ class Attention:
         """Of the mean negative log probability of target (places of weight 0 are left out).
 
         drawn: the classes that the softmax covers beside the target (by default all), each standing for `share` classes."""
-        p, (b, n) = self.p, ids.shape
+        p, (b, n), across = self.p, ids.shape, self.across()
         width = p["emb"].shape[1]
         cols = np.arange(len(p["bias"])) if drawn is None else drawn
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        x = np.take(p["emb"], ids, axis=0) + p["pos"][:n]
-        qkv = flat(x) @ np.concatenate([p["q"] * self.scale, p["k"], p["v"]], 1)
-        q, k, v = (np.ascontiguousarray(qkv[:, i * width : (i + 1) * width]).reshape(b, n, width) for i in range(3))
-        a = q @ k.transpose(0, 2, 1)
+        mixed = p["q"] @ p["k"].T * self.scale
+        x = np.take(p["emb"], ids, axis=0)
+        x += p["pos"][:n]
+        x_t = np.ascontiguousarray(x.transpose(0, 2, 1))
+        y = _times(x, mixed)
+        a = y @ x_t
         a += self.mask[:n, :n]
-        a -= a.max(-1, keepdims=True)
+        if a.max() > 60 or np.einsum("bii->bi", a).min() < -60:  # a row holds its own place, so no sum vanishes
+            a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        h = flat(x + a @ v)
+        a /= (flat(a) @ np.ones(n, a.dtype)).reshape(b, n, 1)
+        c = a @ x
+        h = flat(x) + flat(c) @ p["v"]
         inp, t = ids.ravel(), target.ravel()
-        out_t = np.take(np.ascontiguousarray(p["out"].T), t, axis=0)
+        out = np.ascontiguousarray(p["out"].T)
+        out_t, out = np.take(out, t, axis=0), out[cols]
         z_t = np.einsum("ij,ij->i", h, out_t) + self.prior[inp, t] + p["bias"][t]
-        z = h @ p["out"][:, cols]
-        z += np.take(self.prior.ravel(), inp[:, None] * len(p["bias"]) + cols)
-        z += p["bias"][cols]
-        if share is not None:
-            z += np.log(share).astype(z.dtype)
+        z = out @ h.T  # a row for each class
+        z += np.take(across[cols], inp, axis=1)
+        z += (p["bias"][cols] if share is None else p["bias"][cols] + np.log(share).astype(z.dtype))[:, None]
         place = np.full(len(p["bias"]), -1)
         place[cols] = np.arange(len(cols))
         own = np.flatnonzero(place[t] >= 0)
-        z[own, place[t[own]]] = -1e9  # the target counts once
-        top = np.maximum(z.max(1), z_t)
-        z -= top[:, None]
+        z[place[t[own]], own] = -1e9  # the target counts once
+        if z.max() > 60 or z_t.max() > 60 or z_t.min() < -60:
+            top = np.maximum(z.max(0), z_t)
+            z -= top
+            z_t = z_t - top
         np.exp(z, out=z)
-        e_t = np.exp(z_t - top)
-        w = weight.ravel() / max(weight.sum(), 1)
-        scale = (w / (z.sum(1) + e_t)).astype(z.dtype)
-        z *= scale[:, None]
-        dz_t = (e_t * scale - w).astype(z.dtype)
-        g = {"out": np.zeros_like(p["out"]), "bias": np.zeros_like(p["bias"])}
-        g["out"][:, cols] = h.T @ z
-        g["out"] += _summed(t, h * dz_t[:, None], len(p["bias"])).T
-        g["bias"][cols] = z.sum(0)
-        g["bias"] += np.bincount(t, dz_t, len(p["bias"])).astype(z.dtype)
-        dh = (z @ p["out"][:, cols].T + dz_t[:, None] * out_t).reshape(b, n, width)
-        ds = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
+        e_t = np.exp(z_t)
+        w = (weight.ravel() / max(weight.sum(), 1)).astype(z.dtype)
+        scale = w / (z.sum(0) + e_t)
+        z *= scale
+        dz_t = e_t * scale - w
+        g = {"out": _summed(t, h * dz_t[:, None], len(p["bias"])).T, "bias": np.bincount(t, dz_t, len(p["bias"])).astype(z.dtype)}
+        g["out"][:, cols] += (z @ h).T
+        g["bias"][cols] += z.sum(1)
+        dh = z.T @ out
+        dh += dz_t[:, None] * out_t
+        dc = (dh @ p["v"].T).reshape(b, n, width)
+        ds = dc @ x_t
         ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
         ds *= a
-        dq, dk = (ds @ k) * self.scale, ds.transpose(0, 2, 1) @ q
-        d = np.concatenate([flat(dq), flat(dk), flat(dv)], 1)
-        gm = flat(x).T @ d
-        g["q"], g["k"], g["v"] = gm[:, :width], gm[:, width : 2 * width], gm[:, 2 * width :]
-        dx = dh + (d @ np.concatenate([p["q"], p["k"], p["v"]], 1).T).reshape(b, n, width)
+        dy = flat(ds @ x)
+        g["v"] = flat(c).T @ dh
+        m = flat(x).T @ dy * self.scale
+        g["q"], g["k"] = m @ p["k"], m.T @ p["q"]
+        dx = (dh + dy @ mixed.T).reshape(b, n, width)
+        dx += ds.transpose(0, 2, 1) @ y
+        dx += a.transpose(0, 2, 1) @ dc
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][:n] = dx.sum(0)
         g["emb"] = _summed(inp, flat(dx), len(p["emb"]))
         return g
 
+    def across(self) -> np.ndarray:
+        """The prior with a row for each class."""
+        if self._across is None or self._across[0] is not self.prior:
+            self._across = self.prior, np.ascontiguousarray(self.prior.T)
+        return self._across[1]
+
 
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by their place among n."""
-    return np.stack([np.bincount(at, c, n) for c in rows.T], 1).astype(rows.dtype)
+    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
+    at, out = at[order], np.zeros((n, rows.shape[1]), rows.dtype)
+    start = np.flatnonzero(np.concatenate([at[:1] >= 0, at[1:] != at[:-1]]))
+    out[at[start]] = np.add.reduceat(rows[order], start, axis=0)
+    return out
 
 
 def windows(at: np.ndarray, window: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,26 +267,22 @@ class Vocabulary:
     def within(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Log10 probability of each id within its class after the id before (START before the first); without what
         counts of pairs that aren't held add."""
+        return self.looked_up(ids, before)[0]
+
+    def looked_up(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As within; and places and keys of pairs within the last class whose counts, if any, aren't held here."""
         out, at = np.zeros(len(ids)), np.flatnonzero(self.rest[ids])
         b, i = before[at].astype(np.int64), ids[at]
-        slot, n = self._slot(b), np.zeros(len(at))
+        key, slot = b << 20 | i, self._slot(b)
         if len(self.keys):
-            key = b << 20 | i
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            n = np.where(self.keys[place] == key, self.kept[place], 0)
+            held = self.keys[place] == key
+            n = np.where(held, self.kept[place], 0)
+        else:
+            held, n = np.zeros(len(at), bool), np.zeros(len(at))
         out[at] = np.log10((n + self.left[slot] * self.share[i]) / self.total[slot])
-        return out
-
-    def far(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and keys of pairs within the last class whose counts, if any, aren't held here."""
-        if not self.more:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.rest[ids])
-        key = before[at].astype(np.int64) << 20 | ids[at]
-        if len(self.keys):
-            new = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] != key
-            at, key = at[new], key[new]
-        return at, key
+        far = ~held if self.more else np.zeros(len(at), bool)
+        return out, at[far], key[far]
 
 
 def prior_logits(pairs: np.ndarray, smooth: float = 20.0) -> np.ndarray:
@@ -555,9 +568,9 @@ def model_scores(ids: DataFrame, vocabulary: Vocabulary, model: Attention, rare_
             for x, y in _blocks(b.column(2)):
                 ids, at = _arrays(b.column(2).slice(x, y - x))
                 before = _before(ids, at)
-                p = scored(model, _shifted(vocabulary.inp[ids], at), vocabulary.cls[ids].astype(np.int64), at) / np.log(10) + vocabulary.within(ids, before)
+                within, place, keys = vocabulary.looked_up(ids, before)
+                p = scored(model, _shifted(vocabulary.inp[ids], at), vocabulary.cls[ids].astype(np.int64), at) / np.log(10) + within
                 logs.append(np.add.reduceat(p, at[:-1]))
-                place, keys = vocabulary.far(ids, before)
                 pair_rows += [np.unique(k, return_counts=True) for k in np.split(keys, np.searchsorted(place, at[1:-1]))]
             cols = list(zip(*pair_rows, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([np.zeros(0), *logs]).astype(np.float64)), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["k", "c", "score", "pair", "pair_n"])
