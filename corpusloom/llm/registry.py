@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash_dedup, substring_dedup, url_filter
+from . import chat_format, decontamination, license_scan, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash_dedup, source_audit, substring_dedup, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_license_scan": license_scan.op11_license_scan,
+    "op12_source_divergence": source_audit.op12_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_chat_format": chat_format.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_chat_format": chat_format.SQL, "op12_source_divergence": source_audit.SQL}
