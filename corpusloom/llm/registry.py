@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, license_scan, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash_dedup, source_audit, substring_dedup, url_filter
+from . import chat_format, collocations, decontamination, license_scan, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash_dedup, source_audit, substring_dedup, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_license_scan": license_scan.op11_license_scan,
     "op12_source_divergence": source_audit.op12_source_divergence,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_chat_format": chat_format.SQL, "op12_source_divergence": source_audit.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op5_chat_format": chat_format.SQL, "op12_source_divergence": source_audit.SQL, "op13_collocations": collocations.SQL}
