@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
 import math
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .matching import ratio, ratio_column  # noqa: F401
+
 
 def bleu4(pred: str, gold: str) -> float:
     """Sentence BLEU with uniform weights up to 4-grams; orders without a match count 0.1 matches (smoothing method 1)."""
@@ -39,10 +40,6 @@ def rouge_l(pred: str, gold: str) -> float:
     return 2 * row[-1] / (len(p) + len(g))
 
 
-def ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a or "", b or "").ratio()
-
-
 def _paired(f):
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -57,7 +54,3 @@ def bleu4_column(a, b):
 
 def rouge_l_column(a, b):
     return _paired(rouge_l)(a, b)
-
-
-def ratio_column(a, b):
-    return _paired(ratio)(a, b)
