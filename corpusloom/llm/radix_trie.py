@@ -96,15 +96,17 @@ def terms(shared: list[int], tails: list[bytes]) -> Iterator[bytes]:
     return accumulate(zip(shared, tails, strict=True), lambda last, x: last[: x[0]] + x[1], initial=b"")
 
 
-def merge(trie: Trie, shared, tails, docs, ends, sources, counts, names) -> None:
-    """Adds a flat run to trie."""
+def merge(trie: Trie, known: dict[bytes, Node], shared, tails, docs, ends, sources, counts, names) -> None:
+    """Adds a flat run to trie; known: its leaves by term, so that only new terms are looked for in it."""
     every, start = terms(shared, tails), 0
     next(every)
     for term, n, end in zip(every, docs, ends, strict=True):
-        node = trie.leaf(term)
+        node = known.get(term)
+        if node is None:
+            node = known[term] = trie.leaf(term)
         node.docs += n
         held = node.counts
-        for s, c in zip(sources[start:end], counts[start:end], strict=True):
-            name = names[s]
-            held[name] = held.get(name, 0) + c
+        for i in range(start, end):
+            name = names[sources[i]]
+            held[name] = held.get(name, 0) + counts[i]
         start = end

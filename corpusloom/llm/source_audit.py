@@ -1,7 +1,8 @@
 """Source divergence audit: how far the sources of a language differ in their terms, by mergeable radix tries.
 
 1. Each partition counts terms in one byte trie a language, with a counter for each source and the number of documents at a
-   leaf. A trie that has LEAVES leaves is handed on and a new one begun, so memory is bounded.
+   leaf. Words are counted by hash first; at every ENTRIES counters, and at the end, they become tries, are handed on and
+   begun anew, so memory is bounded.
 2. Tries are cut at prefixes, quantiles of a small sample of terms, and the pieces of a range meet in one task, which merges
    them into one trie and walks it in the order of UTF-8. Terms in enough documents are kept, in blocks.
 3. Divergence is a sum over all kept terms for each ordered pair of sources. A term that neither has adds a constant, one
@@ -20,7 +21,7 @@ and terms are taken whole; an empty table gives no rows; extra columns are left
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import groupby
 
 import numpy as np
@@ -32,10 +33,10 @@ from .common import materialize, parts, settle, table
 from .radix_trie import Flat, Trie, merge, terms
 
 SCALE = 1_000_000_000
-#: Leaves that a task holds at once; terms in a block; sampled terms for each range; bytes of a prefix that bounds a range.
-LEAVES, BLOCK, OVER, PREFIX = 200_000, 4096, 16, 64
-#: Candidates and pair sums that a task holds before it hands them on.
-HELD = 200_000
+#: Counters that a task holds at once; terms in a block; sampled terms for each range; bytes of a prefix that bounds a range.
+ENTRIES, BLOCK, OVER, PREFIX = 1_000_000, 4096, 16, 64
+#: Candidates and pair sums that a task holds before it hands them on; kept terms of a task that looks at blocks.
+HELD, SPAN = 200_000, 1 << 15
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -110,26 +111,34 @@ def counted(docs: DataFrame, cuts: list[tuple[str, bytes]]) -> DataFrame:
                 rows, size = [], 0
         yield out(rows)
 
+    def built(counts, docs):
+        """Tries of a task's counters, which are emptied."""
+        tries: dict[str, Trie] = {lang: Trie() for lang in docs}
+        known: dict[str, dict] = {lang: {} for lang in docs}
+        for (lang, source), by_term in counts.items():
+            leaves, trie = known[lang], tries[lang]
+            for term, n in by_term.items():
+                leaf = leaves.get(term)
+                if leaf is None:
+                    leaf = leaves[term] = trie.leaf(term)
+                leaf.counts[source] = n
+            by_term.clear()
+        for lang, by_term in docs.items():
+            for term, n in by_term.items():
+                known[lang][term].docs = n
+        return tries
+
     def work(batches):
-        tries: dict[str, Trie] = {}
-        known: dict[str, dict] = {}
+        counts, docs = defaultdict(Counter), defaultdict(Counter)
         for b in batches:
-            for lang, source, t in zip(*_texts(b), strict=True):
-                lang, source = lang or "", source or ""
-                if lang not in tries:
-                    tries[lang], known[lang] = Trie(), {}
-                leaves, trie = known[lang], tries[lang]
-                for term, n in Counter(words(t.as_py())).items():
-                    leaf = leaves.get(term)
-                    if leaf is None:
-                        leaf = leaves[term] = trie.leaf(term)
-                    leaf.docs += 1
-                    counts = leaf.counts
-                    counts[source] = counts.get(source, 0) + n
-                if sum(x.leaves for x in tries.values()) > LEAVES:
-                    yield from handed(tries)
-                    tries, known = {}, {}
-        yield from handed(tries)
+            for i, (lang, source, t) in enumerate(zip(*_texts(b), strict=True), 1):
+                if found := words(t.as_py()):
+                    counts[lang or "", source or ""].update(found)
+                    docs[lang or ""].update(set(found))
+                if i % 64 == 0 and sum(map(len, counts.values())) > ENTRIES:
+                    yield from handed(built(counts, docs))
+                    counts, docs = defaultdict(Counter), defaultdict(Counter)
+        yield from handed(built(counts, docs))
 
     return docs.mapInArrow(work, f"range int, lang string, {Flat.SCHEMA}")
 
@@ -140,9 +149,9 @@ def merged(pieces: DataFrame, least_docs: int) -> DataFrame:
     def work(batches):
         rows = ((r, *x) for b in batches for r, *x in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for (at, lang), group in groupby(rows, lambda r: r[:2]):
-            trie = Trie()
+            trie, known = Trie(), {}
             for r in group:
-                merge(trie, *r[2:])
+                merge(trie, known, *r[2:])
             flat, n = Flat(), 0
             for term, node in trie.walk():
                 if node.docs < least_docs:
@@ -285,7 +294,9 @@ def source_audit(docs: DataFrame, text: str = "text", lang: str = "lang", source
     whole = groups.groupBy("lang").agg(F.sum("n").alias("n"), F.max("v").alias("v"))
     own = blocks.select("block", "lang", F.posexplode("names").alias("i", "source")).join(groups.select("lang", "source", F.col("n").alias("m")), ["lang", "source"])
     held = own.groupBy("block", "lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("ns"))
-    seen = materialize(found(blocks.join(held, ["block", "lang"]).join(whole, "lang"), top))
+    # each task hands on up to top terms of each group, so there are as many tasks as the kept terms ask for
+    tasks = max(spark.sparkContext.defaultParallelism, whole.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0] // SPAN)
+    seen = materialize(found(blocks.join(held, ["block", "lang"]).join(whole, "lang").coalesce(tasks), top))
     shared = seen.where("kind = 'pair'").select("lang", "source", "item", "value")
     hist = seen.where("kind = 'count'").groupBy("lang", "source", "at").agg(F.sum("value").alias("value"))
     every = lone_terms(groups, hist).unionByName(shared).groupBy("lang", "source", "item").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))

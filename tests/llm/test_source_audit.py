@@ -34,13 +34,13 @@ def test_tries_count_in_order_and_merge(items, cut):
         counts[t][s] += n
     want = [(t, docs[t], dict(sorted(counts[t].items()))) for t in sorted(docs)]
     assert content(whole) == want and whole.leaves == len(want)
-    out = Trie()
+    out, known = Trie(), {}
     for part in (items[:cut], items[cut:]):
         flat = Flat()
         for t, node in filled(part).walk():
             flat.add(t, node)
         assert list(terms(flat.shared, flat.tails))[1:] == sorted({t for t, _, _ in part})
-        merge(out, *flat.columns())
+        merge(out, known, *flat.columns())
     assert content(out) == want
 
 
@@ -91,7 +91,7 @@ def test_audit_against_brute_force_with_small_tries_and_blocks(spark, monkeypatc
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "text string, lang string, source string, value int, terms string").repartition(5)
     want = brute(rows)
     assert sorted(tuple(r) for r in source_audit.source_audit(df).collect()) == want
-    for name, x in (("LEAVES", 40), ("BLOCK", 7), ("HELD", 50), ("PREFIX", 2)):
+    for name, x in (("ENTRIES", 40), ("BLOCK", 7), ("HELD", 50), ("PREFIX", 2)):
         monkeypatch.setattr(source_audit, name, x)
     assert sorted(tuple(r) for r in source_audit.source_audit(df, ranges=40).collect()) == want
     assert sorted(tuple(r) for r in source_audit.source_audit(df, top=3, least_docs=1).collect()) == brute(rows, 1, 3)
