@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cosine
 from ..streaming.limiter import greedy
+from . import kmeans
 from .dialog import query, table
 
 BLOCK = 4096
@@ -193,9 +194,11 @@ def mining_lengths(spark, sf_dir):
 
 
 def limited(found: DataFrame, phrases: DataFrame, window: int = 1000) -> DataFrame:
-    """anchor and other: candidates by tier and rank through the phrase limiter. phrases: vec_id, phrase."""
+    """anchor and other: candidates through the phrase limiter, strictly over the first two tiers, then relaxed over all.
+    phrases: vec_id, phrase."""
     x = found.join(phrases.select(F.col("vec_id").alias("other"), "phrase"), "other")
-    return greedy(x.select(F.col("vec_id").alias("anchor"), (F.col("tier") * 1_000_000 + F.col("rank")).alias("rank"), "other", "phrase"), window)
+    ts = F.element_at(F.array(F.lit(0.1), F.lit(0.25), F.lit(0.35)), F.col("tier"))  # any similarity of the tier
+    return greedy(x.select(F.col("vec_id").alias("anchor"), "rank", "other", "phrase", ts.alias("ts")), window)
 
 
 @query("mining_limited")
@@ -206,15 +209,12 @@ def mining_limited(spark, sf_dir):
     return limited(candidates(e, partner(e)), phrases)
 
 
-def clusters(vectors: DataFrame, k: int = 30, seed: int = 42, key: str = "vec_id", value: str = "embedding") -> DataFrame:
-    """key and cluster by k-means; with fewer rows than clusters, a hash of the key."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+def clusters(vectors: DataFrame, k: int = 30, seed: int = 42, key: str = "vec_id", value: str = "embedding", starts: int = 10) -> DataFrame:
+    """key and cluster by the cheapest of several seeded starts of k-means; with fewer rows than clusters, one of two by a hash of the key."""
     if vectors.limit(k).count() < k:
-        return vectors.select(key, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int").alias("cluster"))
-    x = vectors.select(key, array_to_vector(F.transform(value, lambda v: v.cast("double"))).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=20).fit(x).transform(x).select(key, F.col("prediction").alias("cluster"))
+        return vectors.select(key, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2)).cast("int").alias("cluster"))
+    x = vectors.select(key, F.transform(value, lambda v: v.cast("double")).alias("v"))
+    return kmeans.assign(x, kmeans.fit(x.select("v"), k, starts, seed)[0], key)
 
 
 @query("kmeans_clusters")

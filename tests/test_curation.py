@@ -72,20 +72,29 @@ def test_views_of_a_hot_map(spark):
 
 
 def test_limited_mining_against_a_loop(spark):
+    """Strictly over two thresholds, each in the order of rank, then relaxed over three."""
     rng = np.random.default_rng(1)
-    found = [(a, int(o), r, int(rng.integers(1, 4))) for a in range(30) for r, o in enumerate(rng.permutation(12)[:4])]
+    found = [(a, int(o), r, int(rng.integers(1, 4))) for a in range(60) for r, o in enumerate(rng.permutation(12)[:4])]
     phrases = [(o, f"phrase {o % 3}") for o in range(12)]
     got = {r.anchor: r.other for r in mining.limited(spark.createDataFrame(found, "vec_id long, other long, rank int, tier int"), spark.createDataFrame(phrases, "vec_id long, phrase string")).collect()}
     limiter, want, text = PhraseLimiter(), {}, dict(phrases)
-    for a in range(30):
-        mine = sorted((t, r, o) for x, o, r, t in found if x == a)
-        pick = next(((o, relaxed) for relaxed in (False, True) for _, _, o in mine if limiter.allows(text[o], relaxed)), None)
-        if pick:
-            limiter.use(text[pick[0]])
-            want[a] = pick[0]
+    for a in range(60):
+        mine = sorted((r, t, o) for x, o, r, t in found if x == a)
+        passes = [(tiers, False) for tiers in (1, 2)] + [(tiers, True) for tiers in (1, 2, 3)]
+        pick = next((o for tiers, relaxed in passes for _, t, o in mine if t <= tiers and limiter.allows(text[o], relaxed)), None)
+        if pick is not None:
+            limiter.use(text[pick])
+            want[a] = pick
     assert got == want and 3 < len(want) < 30
 
 
+def test_a_used_up_phrase_goes_to_the_relaxed_pass(spark):
+    """A fresh row of the last tier doesn't come before a row of the first tier whose phrase has been used."""
+    found = [(1, 10, 1, 1), (2, 10, 1, 1), (2, 11, 2, 3)]
+    df = spark.createDataFrame(found, "vec_id long, other long, rank int, tier int")
+    assert sorted(map(tuple, mining.limited(df, spark.createDataFrame([(10, "p"), (11, "q")], "vec_id long, phrase string")).collect())) == [(1, 10), (2, 10)]
+
+
 def test_goal_filter_comes_after_the_nearest(spark):
     """An anchor whose nearest rows all share its goal has no hard negative."""
     v = lambda x, y: [float(x), float(y)]
