@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize, parts, release, scratch, settle, table
 
 #: Bytes of text in a block; places for each range of keys; sampled keys for each range; buckets of the dense ids; salts.
-BLOCK, RANGE, OVER, BUCKETS, SALT = 1 << 23, 1 << 21, 8, 512, 16
+BLOCK, RANGE, OVER, BUCKETS, SALT = 1 << 22, 1 << 20, 8, 512, 16
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 46 if 10 <= c <= 13 or c in b".,;:!?" else 32 if c == 9 else c for c in range(256))
 
@@ -141,21 +141,22 @@ def _sampled(keys: np.ndarray, rate: float) -> np.ndarray:
     return keys[(h >> np.uint64(11)).astype(np.float64) < rate * 2.0**53]
 
 
-def as_ids(blocks: DataFrame, maps: DataFrame, longest: int, width: int, rate: float) -> DataFrame:
-    """ids of each block, without repeated breaks, and sampled keys of it. maps: block, and pairs of number and id."""
+def as_ids(blocks: DataFrame, maps: DataFrame, longest: int, width: int, most: int, rate: float) -> DataFrame:
+    """ids of each block, without repeated breaks, and sampled keys of it. maps: block, and pairs of number and id; most: the largest id."""
+    kind, name = (pa.int32(), "int") if most < 1 << 31 else (pa.int64(), "long")
 
     def work(batches):
         for b in batches:
             for codes, pairs in zip(b.column(0), b.column(1), strict=True):
-                codes, ids = codes.values.to_numpy(), np.zeros(0, np.int64)
-                to = np.zeros(int(codes.max()) + 1, np.int64)
+                codes = codes.values.to_numpy()
+                to = np.zeros(int(codes.max()) + 1, kind.to_pandas_dtype())
                 to[pairs.values.field("i").to_numpy()] = pairs.values.field("id").to_numpy()
                 ids = to[codes]
                 ids = ids[(ids > 0) | np.concatenate([[False], ids[:-1] > 0])]
                 some = np.unique(_sampled(keys_of(ids, longest, width), rate), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([[x.tobytes() for x in some]], pa.list_(pa.binary()))], names=["ids", "sample"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([[x.tobytes() for x in some]], pa.list_(pa.binary()))], names=["ids", "sample"])
 
-    return blocks.join(maps, "block").select("codes", "pairs").mapInArrow(work, "ids array<long>, sample array<binary>")
+    return blocks.join(maps, "block").select("codes", "pairs").mapInArrow(work, f"ids array<{name}>, sample array<binary>")
 
 
 def runs(blocks: DataFrame, cuts: list[bytes], longest: int, width: int) -> DataFrame:
@@ -257,7 +258,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     width, ranges = width_of(most), max(parts(spark), places // RANGE)
     words = frequent.withColumn("key", F.unhex(F.lpad(F.hex("id"), 2 * width, "0")))
     maps = each.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("pairs"))
-    coded = materialize(as_ids(blocks, maps, longest, width, OVER * ranges / max(1, places)))
+    coded = materialize(as_ids(blocks, maps, longest, width, most, OVER * ranges / max(1, places)))
     release(spark, [written])
     written = scratch()[-1]
     cuts = splitters(coded, ranges)
