@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.scratch import scratch_path
-from ..sources import sinks
+from ..sources import epochs, sinks
 from ..sources.corpus import SPLITS
 from ..sources.json_array import read_json_array
 from .dialog import SPLIT, query, split_of, table
@@ -42,3 +42,11 @@ def json_array_limit(spark, sf_dir):
     sinks.write_version(table(spark, sf_dir, "part").select("p_partkey", "p_name"), root, "p_partkey", parts=1)
     rows = read_json_array(spark, f"{root}/v{sinks.current(spark, root)}/data", "p_partkey long, p_name string")
     return rows.where("position < 100").select("position", "p_partkey", "p_name")
+
+
+@query("epoch_batches", "SELECT count(*) AS rows, ceil(count(*) / 6.0)::BIGINT AS batches, count(*) // 6 * 6 AS full_rows, sum(o_orderkey)::BIGINT AS keys FROM orders")
+def epoch_batches(spark, sf_dir):
+    """A seeded epoch over all orders, in batches of six: every row once, all batches but the last full."""
+    batches = epochs.epoch(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 6, workers=8)
+    sizes = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("slots"), F.sum("o_orderkey").alias("keys"))
+    return sizes.agg(F.sum("slots").alias("rows"), F.count(F.lit(1)).alias("batches"), F.sum(F.when(F.col("n") == 6, 6).otherwise(0)).cast("long").alias("full_rows"), F.sum("keys").alias("keys"))
