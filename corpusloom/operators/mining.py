@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cosine
 from ..streaming.limiter import greedy
-from . import kmeans
+from . import kmeans, nearest
 from .dialog import query, table
 
 BLOCK = 4096
@@ -25,6 +25,8 @@ def knn(vectors: DataFrame, k: int, key: str = "vec_id", value: str = "embedding
     x = vectors.select(F.col(key).cast("long").alias("id"), F.col(value).alias("v"), goal.alias("goal"))
     count = x.count()
     n = max(1, -(-count // block))
+    if n > 1:  # more than one block: those that can't hold a neighbour aren't visited
+        return nearest.search(vectors, k, F.col(key), F.col(value), F.col(other_goal) if other_goal else None, floor, block).withColumnRenamed("id", key)
     packed = x.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list("id").alias("ids"), F.collect_list(F.coalesce("goal", F.lit(0))).alias("goals"), F.flatten(F.collect_list("v")).alias("vs"))
     # each block of queries is sent once to each block of the corpus, by an equi-join on the latter's number
     queries = packed.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).drop("b")
@@ -64,6 +66,13 @@ def knn_cosine(spark, sf_dir):
     return knn(table(spark, sf_dir, "embeddings"), 5).select("vec_id", "other", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("knn_pruned", f"SELECT vec_id, other, r AS rank, round(s, 6) AS similarity FROM {RANKED.format('')} WHERE r <= 5")
+def knn_pruned(spark, sf_dir):
+    """As knn_cosine, over an inverted file of blocks of 64 rows."""
+    found = nearest.search(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id"), F.col("embedding"), block=64)
+    return found.select(F.col("id").alias("vec_id"), "other", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("blacklist_anti", f"SELECT vec_id FROM {E2} a WHERE NOT EXISTS (SELECT 1 FROM {E2} b WHERE b.vec_id < 30 AND list_cosine_similarity(a.e, b.e) > 0.75)")
 def blacklist_anti(spark, sf_dir):
     """30 fixed phrases are a bounded side: they travel to every task as one array of vectors."""
