@@ -304,10 +304,12 @@ def union_augmented(spark, sf_dir):
     return a.unionByName(b)
 
 
-@query("lexicon_union", f"SELECT unnest(list_sort(list_distinct(list_concat({lst(L.COLORS)}, {lst(L.SHAPES)}, {lst(L.LANDMARKS)})))[1:35]) AS term")
+@query("lexicon_union", f"SELECT term, count(t) AS n FROM (SELECT unnest(list_sort(list_distinct(list_concat({lst(L.COLORS)}, {lst(L.SHAPES)}, {lst(L.LANDMARKS)})))[1:35]) AS term) LEFT JOIN {A} ON contains(lower(t), term) GROUP BY term HAVING count(t) > 0")
 def lexicon_union(spark, sf_dir):
-    every = F.array_union(F.array_union(T.strings(L.COLORS), T.strings(L.SHAPES)), T.strings(L.LANDMARKS))
-    return spark.range(1).select(F.explode(F.slice(F.array_sort(every), 1, 35)).alias("term"))
+    """The first 35 terms of three lexicons that any answer holds, with the number of those."""
+    every = F.slice(F.array_sort(F.array_union(F.array_union(T.strings(L.COLORS), T.strings(L.SHAPES)), T.strings(L.LANDMARKS))), 1, 35)
+    held = answers(spark, sf_dir).select(F.explode(F.filter(every, lambda term: F.contains(F.lower("t"), term))).alias("term"))
+    return held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def validator_direction(a: Column, b: Column) -> Column:

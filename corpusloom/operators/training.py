@@ -23,23 +23,28 @@ SCHEDULES = f"""SELECT epoch,
  round(CASE WHEN epoch <= 112 THEN 0.1 WHEN epoch <= 262 THEN {_lerp(112, 262, 0.1, 0.8)} WHEN epoch < 375 THEN {_lerp(262, 375, 0.8, 1.2)} WHEN epoch < 525 THEN 0.6 WHEN epoch < 550 THEN {_lerp(525, 550, 0.6, 0.8)} ELSE 0.8 END, 6) AS ce,
  round(CASE WHEN epoch <= 112 THEN 0.8 WHEN epoch <= 262 THEN {_lerp(112, 262, 0.8, 0.3)} WHEN epoch < 375 THEN {_lerp(262, 375, 0.3, 0.05)} ELSE 0.05 END, 6) AS destination,
  round(CASE WHEN epoch <= 112 THEN 0.5 WHEN epoch <= 262 THEN {_lerp(112, 262, 0.5, 1.0)} WHEN epoch < 375 THEN {_lerp(262, 375, 1.0, 0.7)} WHEN epoch < 525 THEN {_lerp(375, 525, 0.7, 1.2)} ELSE 1.4 END, 6) AS kd
-FROM (SELECT range AS epoch FROM range(3000))"""
+FROM (SELECT o_orderkey AS epoch FROM orders)"""
+
+
+def steps(spark, sf_dir, name: str) -> DataFrame:
+    """Stand-in of logged steps: the keys of orders."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias(name))
 
 
 @query("weight_schedules", "SELECT epoch, curriculum::DOUBLE AS curriculum, contrastive::DOUBLE AS contrastive, ce::DOUBLE AS ce, destination::DOUBLE AS destination, kd::DOUBLE AS kd FROM (" + SCHEDULES + ")")
 def weight_schedules(spark, sf_dir):
-    e = spark.range(3000).withColumnRenamed("id", "epoch")
+    e = steps(spark, sf_dir, "epoch")
     return e.select("epoch", *[F.round(c, 6).alias(k) for k, c in schedules.weights(F.col("epoch")).items()])
 
 
-@query("linear_schedule", "SELECT range AS epoch, round(1.0::DOUBLE + (0.2 - 1.0) * least(greatest(range / 400.0::DOUBLE, 0.0), 1.0), 6) AS weight FROM range(600)")
+@query("linear_schedule", "SELECT o_orderkey AS epoch, round(1.0::DOUBLE + (0.2 - 1.0) * least(greatest(o_orderkey / 400.0::DOUBLE, 0.0), 1.0), 6) AS weight FROM orders")
 def linear_schedule(spark, sf_dir):
-    return spark.range(600).select(F.col("id").alias("epoch"), F.round(schedules.linear(F.col("id"), 1.0, 0.2, 400), 6).alias("weight"))
+    return steps(spark, sf_dir, "epoch").select("epoch", F.round(schedules.linear(F.col("epoch"), 1.0, 0.2, 400), 6).alias("weight"))
 
 
-@query("lr_schedule", "SELECT range AS step, round(CASE WHEN range < 100 THEN range / 100.0::DOUBLE WHEN range < 250 THEN greatest(0.0, 0.5 * (1.0 + cos(pi() * (range - 100) / 150.0::DOUBLE))) ELSE greatest(0.0, 0.3 * (1.0 + cos(pi() * (range - 250) / 750.0::DOUBLE))) END, 6) AS rate FROM range(1000)")
+@query("lr_schedule", "SELECT step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN step < 250 THEN greatest(0.0, 0.5 * (1.0 + cos(pi() * (step - 100) / 150.0::DOUBLE))) ELSE greatest(0.0, 0.3 * (1.0 + cos(pi() * (step - 250) / 750.0::DOUBLE))) END, 6) AS rate FROM (SELECT o_orderkey AS step FROM orders)")
 def lr_schedule(spark, sf_dir):
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(schedules.learning_rate(F.col("id"), 100, 1000), 6).alias("rate"))
+    return steps(spark, sf_dir, "step").select("step", F.round(schedules.learning_rate(F.col("step"), 100, 1000), 6).alias("rate"))
 
 
 def daily_losses(events: DataFrame) -> DataFrame:
@@ -163,10 +168,10 @@ def schedule_phase(epoch: Column, planned: int = 375) -> Column:
 
 @query("schedule_table", "SELECT *, CASE WHEN epoch < 112 THEN 'build' WHEN epoch < 262 THEN 'balance' WHEN epoch < 375 THEN 'tune' ELSE 'extended' END AS phase FROM (SELECT epoch, curriculum::DOUBLE AS curriculum, contrastive::DOUBLE AS contrastive, ce::DOUBLE AS ce, destination::DOUBLE AS destination, kd::DOUBLE AS kd FROM (" + SCHEDULES + ")) WHERE epoch IN (0, 56, 112, 187, 262, 318, 374, 475, 2999)")
 def schedule_table(spark, sf_dir, planned: int = 375, most: int = 3000):
-    """All weights at nine key epochs, with the name of the phase."""
+    """All weights at those steps that are one of nine key epochs, with the name of the phase."""
     a, b = int(0.3 * planned), int(0.7 * planned)
     epochs = [0, a // 2, a, (a + b) // 2, b, (b + planned) // 2, planned - 1, planned + 100, most - 1]
-    e = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in epochs])).alias("epoch"))
+    e = steps(spark, sf_dir, "epoch").where(F.col("epoch").isin(epochs))
     return e.select("epoch", *[F.round(c, 6).alias(k) for k, c in schedules.weights(F.col("epoch")).items()], schedule_phase(F.col("epoch"), planned).alias("phase"))
 
 

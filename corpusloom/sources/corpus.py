@@ -49,8 +49,9 @@ def last_wins(chunks: DataFrame, key: str, order: str) -> DataFrame:
     return chunks.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def write_chunks(df: DataFrame, path: str, rows: int = 1000) -> None:
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+def write_chunks(df: DataFrame, path: str, rows: int = 1000, keep: bool = False) -> None:
+    """Files of so many rows at most; chunks that are there already are replaced, or stay beside the new ones (keep)."""
+    df.write.mode("append" if keep else "overwrite").option("maxRecordsPerFile", rows).parquet(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
