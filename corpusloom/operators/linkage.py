@@ -73,7 +73,7 @@ def raw_side(spark, sf_dir: str) -> DataFrame:
     edited = F.when(kind == 0, q).when(kind == 1, F.substring(q, F.lit(1), (F.length(q) * 0.95).cast("int"))).when(kind == 2, F.replace(q, F.lit("th"), F.lit("ht"))).otherwise(F.reverse(q))
     return turns.select(
         F.concat("conv_id", F.lit("_"), F.col("turn") + 1).alias("route_index"), split_of(F.col("conv_id")).alias("map_name"),
-        F.concat(F.lit("[QUE] "), edited, F.lit(" [INS] "), F.upper("answer"), F.lit(" ")).alias("instructions"),
+        F.concat(F.lit("[QUE] "), edited, F.lit(" [INS] "), F.translate("answer", "aeioun", "AEIOUN"), F.lit(" ")).alias("instructions"),
         F.array(F.concat(F.lit("[INS]"), F.when(F.col("conv_id") % 3 == 0, F.replace(f, F.lit("the "), F.lit("a "))).otherwise(f))).alias("pre_dialogs"),
     )
 
