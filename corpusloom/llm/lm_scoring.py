@@ -8,9 +8,8 @@ logits start from the smoothed frequency of a class after the id before it; atte
 Corpus statistics cover all training documents: counts of words (hashed to 64 bits) for the base score, of ids and of
 pairs of ids. Texts are split into ids once; the ids are written. The model's weights are fitted on all training
 documents: copies of the model are fitted where the written ids lie, a task for each part of the scan, and averaged after
-each of ROUNDS rounds; each document is read in one of the rounds. A step's softmax covers the frequent classes, a draw of
-the others with their weight, and the target; scores take the softmax over all classes. Words are split at ASCII white
-space, A-Z lower-cased.
+each round; each document is read in one of the rounds, whose number grows with the ids. Words are split at ASCII white
+space, A-Z lower-cased. Very long texts are taken whole; extra columns are left out.
 
 Null and empty texts are a single end. Repeated rows are scored one by one; null ids count as the empty text for the
 held-out split. Without training documents the model is uniform over ids.
@@ -32,12 +31,11 @@ from .common import materialize, settle, table
 from .quality_classifier import held_out
 
 WINDOW, CONTEXT = 32, 8
-WIDTH, CLASSES, INPUTS = 16, 128, 4096
-ROUNDS = 2
+WIDTH, CLASSES, INPUTS = 16, 256, 4096
+#: Rounds of averaging at least, and training ids for each, so that copies are averaged as often for each id at any size.
+ROUNDS, PER_ROUND = 2, 1 << 26
 #: Models that the driver adds up at most; more are added up in tasks first.
 MODELS = 24
-#: Classes of a training step: so many frequent ones, and so many drawn from the others.
-ALWAYS, DRAWN = 16, 16
 STEP = 128  # windows of a training step
 #: Pairs of ids within the last class whose counts are sent to every task (the others' are joined), and what each pair's
 #: count is discounted by.
@@ -477,10 +475,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: in
             m = {k: np.zeros_like(v) for k, v in net.p.items()}
             s = {k: np.zeros_like(v) for k, v in net.p.items()}
             step, rng = 0, np.random.default_rng(part)
-            others = np.arange(ALWAYS, CLASSES - 1)
-            always = np.append(np.arange(min(ALWAYS, CLASSES - 1)), CLASSES - 1)
-            n_drawn = min(DRAWN, len(others))
-            share = np.append(np.ones(len(always)), np.full(n_drawn, len(others) / max(n_drawn, 1)))
+
             def learn(ids, at):
                 nonlocal step
                 inputs, target = _shifted(vocabulary.inp[ids], at), vocabulary.cls[ids].astype(np.int64)
@@ -491,8 +486,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: in
                     place = first[w][:, None] + np.arange(WINDOW)
                     real = place < end[w][:, None]
                     place = np.minimum(place, len(target) - 1)
-                    drawn = np.append(always, rng.choice(others, n_drawn, replace=False)) if n_drawn else always
-                    g = net.gradient(inputs[place], target[place], real, drawn, share)
+                    g = net.gradient(inputs[place], target[place], real)
                     step += 1
                     pace = rate * (0.5 if part else 1.0) / (1 + step / 400)
                     for k, d in g.items():
@@ -600,7 +594,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_when=N
             id_counts[r.key] = r.n
         vocabulary = Vocabulary(id_counts)
         pairs, rare_pairs = pair_counts(found, vocabulary)
-        model = train(ids.where("train").select("k", "ids", F.pmod("k", F.lit(ROUNDS)).alias("part")), vocabulary, prior_logits(pairs))
+        rounds = max(ROUNDS, -(-int(id_counts.sum()) // PER_ROUND))
+        model = train(ids.where("train").select("k", "ids", F.pmod("k", F.lit(rounds)).alias("part")), vocabulary, prior_logits(pairs), rounds)
         scores = model_scores(ids, vocabulary, model, rare_pairs)
         rows, n_tokens = base_scores(docs, found.where("kind = 'word'").select(F.col("key").alias("h"), F.col("n").alias("c")))
         return rows.join(scores, ["k", "c"], "left").select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
