@@ -171,7 +171,7 @@ def extract_views(rows: DataFrame, images_: DataFrame, height: int, width: int,
     A map's image is read once for each part of its rows: rows of one map are dealt to `salts` parts, so that a map with
     very many rows isn't one task's."""
     dealt = rows.select(key, "map_name", "corners", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"))
-    spread = images_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = images_.join(dealt.select("map_name", F.col("salt").alias("part")).distinct(), "map_name").withColumnRenamed("part", "salt")  # once for each part that has rows
     kind = f"`{key}` {rows.schema[key].dataType.simpleString()}, view array<double>"
 
     def run(group: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
@@ -185,12 +185,13 @@ def extract_views(rows: DataFrame, images_: DataFrame, height: int, width: int,
     return dealt.groupBy("map_name", "salt").cogroup(spread.groupBy("map_name", "salt")).applyInPandas(run, kind)
 
 
-@query("view_extraction", "WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 5) SELECT p_partkey, round(e[(p_size % 3) * 8 + p_partkey % 4 + 1], 6) AS top_left, round(e[(p_size % 3 + 3) * 8 + p_partkey % 4 + 4], 6) AS bottom_right FROM part JOIN m ON vec_id = p_partkey % 5")
+@query("view_extraction", "WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings) SELECT p_partkey, round(e[(p_size % 3) * 8 + p_partkey % 4 + 1], 6) AS top_left, round(e[(p_size % 3 + 3) * 8 + p_partkey % 4 + 4], 6) AS bottom_right FROM part JOIN m ON vec_id = p_partkey % n")
 def view_extraction(spark, sf_dir):
     """4 x 4 views of maps of 8 x 8 pixels at whole places, where the warp takes the pixels as they are."""
     x, y = (F.col("p_partkey") % 4).cast("double"), (F.col("p_size") % 3).cast("double")
     corners = F.array(F.array(x, y), F.array(x + 3, y), F.array(x + 3, y + 3), F.array(x, y + 3))
-    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).alias("map_name"), corners.alias("corners"))
-    pictures = table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("map_name"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("embedding", lambda v: v.cast("double")).alias("pixels"))  # five maps
+    n = F.broadcast(table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n")))
+    rows = table(spark, sf_dir, "part").crossJoin(n).select("p_partkey", (F.col("p_partkey") % F.col("n")).alias("map_name"), corners.alias("corners"))
+    pictures = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("map_name"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("embedding", lambda v: v.cast("double")).alias("pixels"))
     views = extract_views(rows, pictures, 4, 4, "p_partkey")
     return views.select("p_partkey", F.round(F.col("view")[0], 6).alias("top_left"), F.round(F.col("view")[15], 6).alias("bottom_right"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
@@ -169,15 +169,47 @@ def cluster_transition(spark, sf_dir):
     return x.agg(F.round(F.avg((F.col("label") != F.col("l2")).cast("int")), 6).alias("ratio"))
 
 
-_GOOD = "other % 17 <> 0"
+def plain_phrase(answer: Column) -> Column:
+    return F.lower(F.btrim(F.coalesce(answer, F.lit("")), F.lit(" \t\n\x0b\x0c\r")))
+
+
+def good_answer(answer: Column, text: Column, blacklist: list[list[float]], least: int = 20, alike: float = 0.75) -> Column:
+    """Long enough, and unlike every vector of the blacklist (a fixed list of phrases)."""
+    bad = F.lit(False)
+    if blacklist:
+        vectors = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in blacklist])
+        bad = F.exists(vectors, lambda b: cosine(text, b) > alike)
+    return (F.length(plain_phrase(answer)) >= least) & ~F.coalesce(bad, F.lit(False))
+
+
+def blacklist_of(vectors: DataFrame, n: int = 30) -> list[list[float]]:
+    """Stand-in of a fixed list of phrases: the vectors of the first rows."""
+    return [list(r.embedding) for r in vectors.where(F.col("vec_id") < n).select("embedding").collect()]
+
+
+ANSWERS = "(SELECT e.vec_id, CASE WHEN e.vec_id % 5 = 0 THEN 'to the ' || p.p_name ELSE 'Fly over to the ' || p.p_name || ' and the ' || lower(p.p_type) || ' roof ' END AS answer FROM embeddings e JOIN part p ON p.p_partkey = e.vec_id % (SELECT count(*) FROM part))"
+
+
+def said(spark, sf_dir: str) -> DataFrame:
+    """vec_id and answer: texts made of the parts' names, one in five too short."""
+    e, part = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "part")
+    n = F.broadcast(part.agg(F.count(F.lit(1)).alias("parts")))
+    answer = F.when(F.col("vec_id") % 5 == 0, F.concat(F.lit("to the "), "p_name")).otherwise(F.concat(F.lit("Fly over to the "), "p_name", F.lit(" and the "), F.lower("p_type"), F.lit(" roof ")))
+    return e.crossJoin(n).withColumn("p_partkey", F.col("vec_id") % F.col("parts")).join(part, "p_partkey").select("vec_id", answer.alias("answer"))
+
+
+GOOD = f"(SELECT a.vec_id FROM {ANSWERS} a JOIN {TXT} t ON t.vec_id = a.vec_id WHERE length(trim(a.answer)) >= 20 AND NOT EXISTS (SELECT 1 FROM {E2} b WHERE b.vec_id < 30 AND list_cosine_similarity(t.t, b.e) > 0.75))"
+_GOOD = f"other IN {GOOD}"
 _DIVERSE = f"(SELECT vec_id, other AS negative FROM {SIM} WHERE l1 <> l2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12), other) = 1)"
 _DRIVER = f"(SELECT e.vec_id, coalesce(h.negative, d.negative) AS negative, CASE WHEN h.negative IS NOT NULL THEN 'hard' WHEN d.negative IS NOT NULL THEN 'diverse' END AS kind, h.tier FROM embeddings e LEFT JOIN {_hard_sql(_GOOD)} h USING (vec_id) LEFT JOIN {_DIVERSE} d USING (vec_id))"
 
 
 def mined(spark, sf_dir) -> DataFrame:
-    """Hard negatives first; anchors without one get a diverse one. Stand-in of the answer test: keys that 17 doesn't divide."""
+    """Hard negatives first; anchors without one get a diverse one. Only rows with a good answer are hard negatives."""
     e = table(spark, sf_dir, "embeddings")
-    hard = hard_negatives(e, partner(e), good=e.where("vec_id % 17 <> 0").select("vec_id"))
+    texts = partner(e)
+    good = texts.join(said(spark, sf_dir), "vec_id").where(good_answer(F.col("answer"), F.col("text"), blacklist_of(e))).select("vec_id")
+    hard = hard_negatives(e, texts, good=good)
     diverse = diverse_negative(spark, sf_dir).withColumnRenamed("negative", "other")
     x = e.select("vec_id").join(hard, "vec_id", "left").join(diverse, "vec_id", "left")
     return x.select("vec_id", F.coalesce("negative", "other").alias("negative"), F.when(F.col("negative").isNotNull(), "hard").when(F.col("other").isNotNull(), "diverse").alias("kind"), "tier")

@@ -9,7 +9,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..plans.scratch import scratch_path
 from ..sources import corpus
-from . import curation, miner
+from . import curation, miner, mining
 from .dialog import SPLIT, X1, query, split_of, sub_trajectories, table
 from .texts import A, any_in, answers, lst
 
@@ -59,12 +59,12 @@ def reuse(used: DataFrame, good: DataFrame, phrase: str = "phrase") -> DataFrame
     return a.crossJoin(b).withColumn("diversity_ratio", F.coalesce(F.try_divide(F.col("unique_phrases"), F.col("good_phrases")), F.lit(0.0)))  # a row each
 
 
-@query("phrase_reuse", f"""WITH p AS (SELECT vec_id, lower(trim(answer)) AS phrase, length(trim(answer)) >= 20 AS good FROM {miner._ANSWERS}), n AS (SELECT q.phrase FROM p JOIN p q ON q.vec_id = (p.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)),
+@query("phrase_reuse", f"""WITH p AS (SELECT vec_id, lower(trim(answer)) AS phrase, length(trim(answer)) >= 20 AS good FROM {mining.ANSWERS}), n AS (SELECT q.phrase FROM p JOIN p q ON q.vec_id = (p.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)),
  c AS (SELECT phrase, count(*) AS uses FROM n GROUP BY 1)
  SELECT sum(uses)::BIGINT AS used, count(*) AS unique_phrases, max(uses) AS max_reuse, round(avg(uses), 6) AS avg_reuse, (SELECT count(DISTINCT phrase) FROM p WHERE good) AS good_phrases, round(count(*) / (SELECT count(DISTINCT phrase) FROM p WHERE good)::DOUBLE, 6) AS diversity_ratio FROM c""")
 def phrase_reuse(spark, sf_dir):
     """Each row's negative is its partner; good phrases are those of 20 characters."""
-    p = miner.answered(spark, sf_dir, blacklist=0).select("id", miner.plain_phrase(F.col("answer")).alias("phrase"), "good")
+    p = miner.answered(spark, sf_dir, blacklist=0).select("id", mining.plain_phrase(F.col("answer")).alias("phrase"), "good")
     n = F.broadcast(p.agg(F.count(F.lit(1)).alias("n")))
     used = p.crossJoin(n).select(((F.col("id") * 7 + 3) % F.col("n")).alias("id")).join(p.select("id", "phrase"), "id")
     x = reuse(used, p.where("good"))
