@@ -5,7 +5,9 @@ large group of them can still be cut. Size-weighted samples of keys give quantil
 turn out overfull are subdivided by further samples from them. Exact byte offsets of the ranges and running sums inside
 them then cut the key order into shards of equal bytes.
 
-Null texts count as empty (size 1); null ids and repeated rows are records like any other; an empty table gives no rows.
+Null texts count as empty (size 1); null ids and repeated rows are records like any other, rows that are equal in id and
+text in any order among themselves; very long texts count by their bytes; an empty table gives no rows. Extra columns are
+left out of the result; if the key has the name of a computed column, that column's name gets an underscore.
 """
 
 from __future__ import annotations
@@ -59,10 +61,11 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     """key, size, text_crc32, shard and slot of every record."""
     body = F.coalesce(F.col(text), F.lit(""))
     split_key = F.xxhash64(body).bitwiseAND(F.lit(-(1 << 24)).cast("long")).bitwiseOR(F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 24) - 1).cast("long")))
-    rows = materialize(docs.select(key, (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), split_key.alias("key")))
+    rows = materialize(docs.select(F.col(key).alias("id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), split_key.alias("key")))
+    named = lambda c: f"{c}_" if c == key.lower() else c
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     if not n:
-        return rows.select(key, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return rows.select(F.col("id").alias(key), F.col("size").alias(named("size")), F.col("text_crc32").alias(named("text_crc32")), F.lit(0).alias(named("shard")), F.lit(0).cast("long").alias(named("slot")))
     bounds = splitters(rows, total, ranges or max(shards, min(4096, n // 256)))
     placed = rows.withColumn("r", _search(F.col("key"), bounds))
     before = {}
@@ -71,12 +74,13 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
         before[r.r] = (bytes_, count)
         bytes_, count = bytes_ + r.b, count + r.n
     offsets = F.array(*[F.struct(F.lit(before.get(i, (0, 0))[0]).cast("long").alias("b"), F.lit(before.get(i, (0, 0))[1]).cast("long").alias("n")) for i in range(max(before) + 1)])
-    w = Window.partitionBy("r").orderBy("key", key, "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("r").orderBy("key", "id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = F.get(offsets, F.col("r"))
     ranked = materialize(placed.select("*", (F.sum("size").over(w) - F.col("size") + at["b"]).alias("start"), (F.count(F.lit(1)).over(w) - 1 + at["n"]).alias("rank")).withColumn("shard", F.expr(f"cast(least(start div {-(-total // shards)}, {shards - 1}) as int)")))
     first = {r.shard: r.m for r in ranked.groupBy("shard").agg(F.min("rank").alias("m")).collect()}
     starts = F.array(*[F.lit(first.get(s, 0)).cast("long") for s in range(shards)])
-    return ranked.select(key, "size", "text_crc32", "shard", (F.col("rank") - F.get(starts, F.col("shard"))).alias("slot"))
+    slot = F.col("rank") - F.get(starts, F.col("shard"))
+    return ranked.select(F.col("id").alias(key), *[F.col(c).alias(named(c)) for c in ("size", "text_crc32", "shard")], slot.alias(named("slot")))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
