@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,20 +169,30 @@ def extract_views(rows: DataFrame, images_: DataFrame, height: int, width: int,
     """key and view (flat) of each row; rows: key, map_name, corners (four pairs); images_: map_name, h, w, pixels.
 
     A map's image is read once for each part of its rows: rows of one map are dealt to `salts` parts, so that a map with
-    very many rows isn't one task's."""
+    very many rows isn't one task's. Maps stream through a task in order, each before its rows, without a call for each."""
     dealt = rows.select(key, "map_name", "corners", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"))
     spread = images_.join(dealt.select("map_name", F.col("salt").alias("part")).distinct(), "map_name").withColumnRenamed("part", "salt")  # once for each part that has rows
-    kind = f"`{key}` {rows.schema[key].dataType.simpleString()}, view array<double>"
-
-    def run(group: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
-        if not len(image) or not len(group):
-            return pd.DataFrame({key: group[key][:0] if len(group) else pd.Series(dtype="int64"), "view": pd.Series(dtype=object)})
-        i = image.iloc[0]
-        plane = np.asarray(i["pixels"], float).reshape(i["h"], i["w"])
-        views = [warp(plane, np.array([list(p) for p in c], float), height, width).ravel().tolist() for c in group["corners"]]
-        return pd.DataFrame({key: group[key], "view": views})
-
-    return dealt.groupBy("map_name", "salt").cogroup(spread.groupBy("map_name", "salt")).applyInPandas(run, kind)
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    image = spread.select("map_name", "salt", F.lit(0).alias("order"), "h", "w", F.transform("pixels", lambda v: v.cast("double")).alias("pixels"), none(rows, key), none(rows, "corners"))
+    mine = dealt.select("map_name", "salt", F.lit(1).alias("order"), F.lit(None).cast(spread.schema["h"].dataType).alias("h"), F.lit(None).cast(spread.schema["w"].dataType).alias("w"), F.lit(None).cast("array<double>").alias("pixels"), key, "corners")
+    both = image.unionByName(mine).where("map_name is not null").repartition("map_name", "salt").sortWithinPartitions("map_name", "salt", "order")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        at, plane = None, None
+        for b in batches:
+            names, salted, order, heights, widths, keys = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("map_name", "salt", "order", "h", "w", key))
+            pixels, corners = b.column(b.schema.get_field_index("pixels")), b.column(b.schema.get_field_index("corners"))
+            found: tuple[list, list] = ([], [])
+            for i in range(b.num_rows):
+                if not order[i] and at != (names[i], salted[i]):
+                    at, plane = (names[i], salted[i]), np.asarray(pixels[i].values, float).reshape(heights[i], widths[i])
+                elif order[i] and at == (names[i], salted[i]):
+                    found[0].append(keys[i])
+                    found[1].append(warp(plane, np.array(corners[i].as_py(), float), height, width).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], b.schema.field(key).type), pa.array(found[1], pa.list_(pa.float64()))], names=[key, "view"])
+
+    return both.mapInArrow(run, f"`{key}` {kind}, view array<double>")
 
 
 @query("view_extraction", "WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings) SELECT p_partkey, round(e[(p_size % 3) * 8 + p_partkey % 4 + 1], 6) AS top_left, round(e[(p_size % 3 + 3) * 8 + p_partkey % 4 + 4], 6) AS bottom_right FROM part JOIN m ON vec_id = p_partkey % n")

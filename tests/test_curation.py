@@ -71,6 +71,17 @@ def test_views_of_a_hot_map(spark):
     assert sorted(got) == list(range(50)) and all(v == [1.0, 2.0, 3.0, 4.0] for v in got.values())
 
 
+def test_views_of_many_maps(spark):
+    """Maps stream through tasks: no call for each map and part."""
+    corners = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]
+    rows = spark.range(3000).selectExpr("id AS key", "id % 700 AS map_name").withColumn("corners", F.array(*[F.array(*[F.lit(x) for x in c]) for c in corners]))
+    maps = spark.range(600).selectExpr("id AS map_name", "2 AS h", "2 AS w", "array(cast(id AS double), id + 0.5D, 0D, 0D) AS pixels")
+    views = geometry.extract_views(rows, maps, 2, 2)
+    got = {r.key: r.view for r in views.collect()}
+    assert sorted(got) == [i for i in range(3000) if i % 700 < 600] and all(v[0] == i % 700 for i, v in got.items())
+    assert "CoGroup" not in views._jdf.queryExecution().executedPlan().toString()
+
+
 def test_limited_mining_against_a_loop(spark):
     """Strictly over two thresholds, each in the order of rank, then relaxed over three."""
     rng = np.random.default_rng(1)
