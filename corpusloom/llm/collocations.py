@@ -5,7 +5,7 @@
 2. Each block's list meets the ids by a join, so no task needs the whole dictionary, and the block is written again as ids;
    a rare word breaks its piece, as no frequent phrase holds it.
 3. Each place gives one key, the ids of `longest` words from there on, of fixed width and padded by zeros where the piece
-   ends. A block's keys are radix sorted and counted by runs, cut at splitters (quantiles of keys sampled by their hash), and
+   ends. A block's keys are radix sorted and counted by runs, cut at splitters (quantiles of keys sampled in each block anew), and
    the runs of a range meet in one task, which sorts and counts them again. Shorter phrases are prefixes, so they are runs of
    the same order; one that may go on in the next range is handed on whatever its count, and added up.
 4. Each phrase is cut in every way, its parts' counts are joined, and the least score counts.
@@ -17,6 +17,8 @@ left out of the result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -131,10 +133,11 @@ def sort_and_count(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def _sampled(keys: np.ndarray, rate: float) -> np.ndarray:
-    """The keys whose hash is below the rate."""
+def _sampled(keys: np.ndarray, rate: float, block: str = "") -> np.ndarray:
+    """The keys whose hash with the block is below the rate. Each block draws its own: a range holds a key once for each block
+    that has it, and keys of very many blocks would else be in the sample always or never."""
     digits = keys.view(">u2").astype(np.uint64)
-    h = np.zeros(len(keys), np.uint64)
+    h = np.full(len(keys), zlib.crc32(block.encode()), np.uint64)
     for d in range(digits.shape[1]):
         h = (h ^ digits[:, d]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -147,16 +150,16 @@ def as_ids(blocks: DataFrame, maps: DataFrame, longest: int, width: int, most: i
 
     def work(batches):
         for b in batches:
-            for codes, pairs in zip(b.column(0), b.column(1), strict=True):
+            for block, codes, pairs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 codes = codes.values.to_numpy()
                 to = np.zeros(int(codes.max()) + 1, kind.to_pandas_dtype())
                 to[pairs.values.field("i").to_numpy()] = pairs.values.field("id").to_numpy()
                 ids = to[codes]
                 ids = ids[(ids > 0) | np.concatenate([[False], ids[:-1] > 0])]
-                some = np.unique(_sampled(keys_of(ids, longest, width), rate), axis=0)
+                some = np.unique(_sampled(keys_of(ids, longest, width), rate, block), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([[x.tobytes() for x in some]], pa.list_(pa.binary()))], names=["ids", "sample"])
 
-    return blocks.join(maps, "block").select("codes", "pairs").mapInArrow(work, f"ids array<{name}>, sample array<binary>")
+    return blocks.join(maps, "block").select("block", "codes", "pairs").mapInArrow(work, f"ids array<{name}>, sample array<binary>")
 
 
 def runs(blocks: DataFrame, cuts: list[bytes], longest: int, width: int) -> DataFrame:

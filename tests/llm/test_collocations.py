@@ -61,6 +61,22 @@ def test_small_blocks_ranges_and_reports(spark, monkeypatch):
         assert sorted(tuple(r) for r in collocations.collocations(df, **options).collect()) == brute(rows, **options), options
 
 
+def test_ranges_of_repeated_texts_stay_small(spark, monkeypatch):
+    """All blocks hold the same keys: a sample that draws a key in all blocks or in none left a few ranges with all runs."""
+    rows = [(" ".join(f"w{i}" for i in range(60)), "en")] * 300
+    for name, x in (("BLOCK", 100), ("RANGE", 200)):
+        monkeypatch.setattr(collocations, name, x)
+    real, sizes = collocations.counted, []
+
+    def spy(found, *options):
+        sizes.extend(r.n for r in found.groupBy("range").agg(F.sum(F.size("counts")).alias("n")).collect())
+        return real(found, *options)
+
+    monkeypatch.setattr(collocations, "counted", spy)
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows) and sum(sizes) == 300 * 59 and max(sizes) < 1500
+
+
 def test_empty_tables_and_texts(spark, empty_dir):
     df = collocations.op13_collocations(spark, empty_dir)
     assert df.count() == 0 and df.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and {t for c, t in df.dtypes if c not in ("lang", "phrase")} == {"bigint"}
