@@ -2,7 +2,8 @@
 
 The texts of each side are collapsed to distinct ones first, so copies are compared once. Inside a block of equal answer, map
 and turn, only texts in neighbouring bands of length meet, letter counts bound the ratio from above before any text is
-compared, equal texts need no comparison, and the exact ratio runs on what is left. Nothing that could pass is lost.
+compared, equal texts need no comparison, longest common subsequences bound it again, and blocks are matched on what is left,
+until it is known whether the ratio passes. Nothing that could pass is lost.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import band, bound, profile, ratio_column
+from ..functions.matching import above_column, band, bound, profile
 from .dialog import SPLIT, flatten_turns, query, split_of, table
 
 KEYS = ["answer_key", "map_name", "turn_id"]
@@ -59,9 +60,8 @@ def linked(raw: DataFrame, turns: DataFrame, key: str, order: str, least: float
     left = mine.select(*both).distinct().withColumns({"p1": F.array(profile(F.col("question")), profile(F.col("first_instruction"))), "band": band(F.col("question"), least)})
     left = left.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
     pairs = left.join(right, [*KEYS, "band"]).where((bound(F.col("p2")[0], F.col("p1")[0]) > least) & (bound(F.col("p2")[1], F.col("p1")[1]) > least)).drop("p1", "p2", "band")
-    same = (F.col("q2") == F.col("question")) & (F.col("f2") == F.col("first_instruction"))
-    alike = pairs.where(~same).where(ratio_column("q2", "question") > least).where(ratio_column("f2", "first_instruction") > least)
-    best = pairs.where(same).unionByName(alike).groupBy(*both).agg(F.min("turn_key").alias("turn_key"))
+    alike = pairs.where(above_column("q2", "question", "f2", "first_instruction", least))
+    best = alike.groupBy(*both).agg(F.min("turn_key").alias("turn_key"))
     return mine.join(best, both).select(F.col("raw_key").alias(key), "turn_key")
 
 

@@ -19,6 +19,24 @@ def test_ratio_of_short_texts(a, b):
     assert matching.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
 
 
+@settings(max_examples=400, deadline=None)
+@given(TEXT, TEXT, st.sampled_from([0.0, 0.3, 0.5, 0.9, 1.0]))
+def test_above_is_the_ratio_held_against_a_least(a, b, least):
+    assert matching.above(a, b, least) == (SequenceMatcher(None, a, b).ratio() > least)
+
+
+def test_reversed_texts_are_told_apart_without_matching(monkeypatch):
+    """Letter counts of a reversed text are equal, so its blocks were all matched before; subsequences tell it apart."""
+    rng, calls, real = random.Random(7), [], matching.Automaton
+    monkeypatch.setattr(matching, "Automaton", lambda *x: calls.append(x) or real(*x))
+    for n in (60, 250, 900):
+        text = "".join(rng.choice("etaoin shrdlu") for _ in range(n))
+        assert not matching.above(text, text[::-1], 0.9) and not calls
+        near = mangled(rng, text, 3)
+        assert matching.above(text, near, 0.9) == (SequenceMatcher(None, text, near).ratio() > 0.9)
+        calls.clear()
+
+
 def mangled(rng, text, edits):
     text = list(text)
     for _ in range(edits):
