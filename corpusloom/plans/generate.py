@@ -174,7 +174,7 @@ def regenerated(raw: DataFrame, turns: DataFrame, key: str, order: str, context:
 
     raw and turns: as linkage.linked takes them; context: the column of turns that the model is asked with. Added: turn_key,
     original (the instruction before), status (unmatched, failed, same, new) and error."""
-    found = linkage.linked(raw, turns, key, order)
+    found = written(linkage.linked(raw, turns, key, order))  # prompts and answers both read the links
     asked = found.join(turns.select(F.col(order).alias("turn_key"), F.col(context).alias("_context")), "turn_key")
     answers = generated(asked, "_context", model, **calls).select(key, "turn_key", F.btrim("response").alias("_new"), "error")
     x = raw.join(answers, key, "left")

@@ -103,3 +103,11 @@ def test_regenerated_rows_keep_what_fails(spark):
     assert got["r_2"][0] == "new" and got["r_2"][1].startswith("[QUE] where? [INS] 1. please go left")
     scores = generate.regeneration_scores(done, "route_index").collect()
     assert [s.route_index for s in scores] == ["r_2"] and 0 < scores[0].bleu4 < 1 and 0 < scores[0].rouge_l < 1 and 0 <= scores[0].total <= 1
+
+
+def test_regenerated_rows_link_once(spark):
+    """The links were made for the prompts and once more for the result: the plan of the result held the ratios."""
+    raw = spark.createDataFrame([("r_2", "m", "[QUE] where? [INS] go left", ["[INS] start"])], "route_index string, map_name string, instructions string, pre_dialogs array<string>")
+    turns = spark.createDataFrame([(1, "e", "m", 1, "where? ", "go left", "start")], "place long, episode_id string, map_name string, turn_id int, question string, answer string, first_instruction string")
+    done = generate.regenerated(raw, turns, "route_index", "place", "answer", lambda p: [x.upper() for x in p])
+    assert "EvalPython" not in done._jdf.queryExecution().optimizedPlan().toString() and done.first().status == "new"
