@@ -1,8 +1,9 @@
-"""Scores of generated texts: BLEU-4 from n-gram multisets, ROUGE-L over stems."""
+"""Scores of generated texts: BLEU-4 from n-gram multisets of each row, ROUGE-L over stems."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,24 +23,31 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def clipped(order: int):
+    """How many n-grams of the first words stand in the second too, each as often as it does in both, for n from 1 to order."""
+
+    def hits(p, g) -> list[int]:
+        grams = lambda w, n: Counter(zip(*(w[i:] for i in range(n)), strict=False))
+        return [(grams(p, n) & grams(g, n)).total() for n in range(1, order + 1)]
+
+    def run(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([hits(x.tolist(), y.tolist()) for x, y in zip(p, g, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(T.LongType()))
+
+
 def bleu4(pairs: DataFrame, key: str, pred: str, gold: str, order: int = 4) -> DataFrame:
     """key and bleu4 of each row: uniform weights, clipped counts, EPSILON matches for orders without any, brevity penalty.
 
-    The n-grams of both sides are rows that meet by group, so a long text is no task's own. Nulls count as empty and give 0;
-    keys are unique."""
-    both = pairs.select(F.col(key).alias("key"), F.explode(F.array(F.struct(F.lit(1).alias("side"), tokens(F.col(pred)).alias("w")), F.struct(F.lit(0).alias("side"), tokens(F.col(gold)).alias("w")))).alias("x")).select("key", "x.side", "x.w")
-    sizes = both.groupBy("key").agg(F.max(F.when(F.col("side") == 1, F.size("w"))).alias("p"), F.max(F.when(F.col("side") == 0, F.size("w"))).alias("g"))
-    gram = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.slice(F.col("w"), i, n).alias("gram")))).otherwise(F.array().cast("array<struct<n: int, gram: array<string>>>"))
-    grams = both.select("key", "side", F.explode(F.concat(*[gram(n) for n in range(1, order + 1)])).alias("x")).select("key", "side", "x.*")
-    counted = grams.groupBy("key", "n", "gram").agg(F.sum("side").alias("p"), F.sum(1 - F.col("side")).alias("g"))
-    hits = counted.groupBy("key").agg(*[F.sum(F.when(F.col("n") == n, F.least("p", "g")).otherwise(0)).alias(f"h{n}") for n in range(1, order + 1)])
-    x = sizes.join(hits, "key", "left")
+    n-grams are counted where the row is, so nothing is shuffled. Nulls count as empty and give 0."""
+    words = pairs.select(F.col(key).alias("key"), tokens(F.col(pred)).alias("pw"), tokens(F.col(gold)).alias("gw"))
+    x = words.select("key", F.size("pw").alias("p"), F.size("gw").alias("g"), clipped(order)("pw", "gw").alias("h"))
     logs = F.lit(0.0)
     for n in range(1, order + 1):
-        share = F.when(F.col(f"h{n}") > 0, F.col(f"h{n}").cast("double")).otherwise(EPSILON) / F.greatest(F.lit(1), F.col("p") - (n - 1))
+        share = F.when(F.col("h")[n - 1] > 0, F.col("h")[n - 1].cast("double")).otherwise(EPSILON) / F.greatest(F.lit(1), F.col("p") - (n - 1))
         logs = logs + F.log(share) / order
-    short = F.least(F.lit(0.0), 1 - F.col("g") / F.col("p"))
-    return x.select(F.col("key").alias(key), F.when(F.coalesce("h1", F.lit(0)) > 0, F.exp(short + logs)).otherwise(0.0).alias("bleu4"))
+    short = F.least(F.lit(0.0), 1 - F.col("g") / F.greatest(F.lit(1), F.col("p")))
+    return x.select(F.col("key").alias(key), F.when(F.col("h")[0] > 0, F.exp(short + logs)).otherwise(0.0).alias("bleu4"))
 
 
 def stems(text: str | None) -> list[str]:

@@ -71,6 +71,12 @@ def test_bleu_and_rouge_of_rows(spark):
     assert abs(one - 2 * 2 / 7) < 1e-12
 
 
+def test_bleu_shuffles_nothing(spark):
+    """Each n-gram was a row that was shuffled."""
+    df = spark.range(20).select("id", F.lit("a b c d").alias("p"), F.lit("a b c").alias("g"))
+    assert "Exchange" not in generation.bleu4(df, "id", "p", "g")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_places_are_bijections(spark):
     df = spark.createDataFrame([(n, i) for n in [*range(1, 40), 97, 256] for i in range(n)], "n long, i long")
     places = {}
