@@ -1,8 +1,8 @@
 """Whole-turn features: views of maps, dialog context, tokens and contrastive texts of every turn, in one row.
 
 Views are cut from tiles of maps, so no task holds a map. A view's pixels are dealt to the tiles that they fall on; the rows
-of a tile are dealt to as many parts as their count asks for, each part meets the tile once, and the pixels of a view are put
-together again by a shuffle on the view. Destinations are cut once an episode.
+of a tile are dealt to as many parts as their count asks for, each part meets the tile once, tiles and the rows after them
+stream through the tasks, and the pixels of a view are put together again by a shuffle on the view. Destinations are cut once an episode.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,19 +100,29 @@ def cut_views(views: DataFrame, tiled: DataFrame, height: int, width: int, size:
     dealt = asked.join(parts, key).withColumn("part", F.pmod(F.xxhash64("view"), F.col("parts")).cast("int")).drop("parts")
     spread = tiled.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
-    def run(rows: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(tile):
-            t = tile.iloc[0]
-            piece = np.asarray(t["pixels"], float).reshape(t["th"], t["tw"], t["channels"])
-            for view, corners in zip(rows["view"], rows["corners"], strict=True):
-                y, x = places(_corners(corners), height, width, t["h"], t["w"])
-                here = np.flatnonzero((y // size == t["ty"]) & (x // size == t["tx"]))
-                out.append((view, here.tolist(), sampled(piece, y[here] - t["ty"] * size, x[here] - t["tx"] * size).ravel().tolist()))
-        return pd.DataFrame(out, columns=["view", "at", "values"])
+    def run(batches):
+        """Each tile is followed by the rows of its part."""
+        now, tile, piece = None, None, None
+        for b in batches:
+            plain = b.select(["map_name", "ty", "tx", "part", "h", "w", "channels", "th", "tw"]).to_pylist()
+            corners, pixels, seen = b.column("corners"), b.column("pixels"), b.column("view").is_valid().to_pylist()
+            rows, at, values = [], [], []
+            for r, row in enumerate(plain):
+                here = (row["map_name"], row["ty"], row["tx"], row["part"])
+                if not seen[r]:
+                    if here != now:
+                        now, tile, piece = here, row, pixels[r].values.to_numpy().reshape(row["th"], row["tw"], row["channels"])
+                elif here == now:
+                    y, x = places(_corners(corners[r].as_py()), height, width, tile["h"], tile["w"])
+                    mine = np.flatnonzero((y // size == tile["ty"]) & (x // size == tile["tx"]))
+                    rows.append(r)
+                    at.append(mine.astype(np.int32))
+                    values.append(sampled(piece, y[mine] - tile["ty"] * size, x[mine] - tile["tx"] * size).ravel())
+            yield pa.RecordBatch.from_arrays([b.column("view").take(pa.array(rows, pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["view", "at", "values"])
 
     kind = views.schema["view"].dataType.simpleString()
-    pieces = dealt.groupBy(*key, "part").cogroup(spread.groupBy(*key, "part")).applyInPandas(run, f"view {kind}, at array<int>, values array<double>")
+    both = spread.unionByName(dealt, allowMissingColumns=True).repartition(*key, "part").sortWithinPartitions(*key, "part", F.col("view").isNotNull())
+    pieces = both.mapInArrow(run, f"view {kind}, at array<int>, values array<double>")
 
     def join_up(batches):
         now, held = None, []

@@ -59,3 +59,12 @@ def test_turns_with_and_without_everything(spark, maps):
     assert set(a.previous_views[0]) == {0.0} and np.allclose(a.previous_views[1], want) and np.allclose(a.previous_views[2], want)
     assert (a.positive_text, a.positive_text_2, a.negative_text) == ("p one", "p two", "n one")
     assert b.current_view == [0.0] * 72 and b.previous_views == [] and b.destination_view is None and (b.question, b.answer, b.first_instruction, b.dialog_context) == ("", "", "", "") and b.positive_text is None
+
+
+def test_tiles_stream_without_a_call_for_each(spark):
+    """Each tile and part was a pandas call of its own; a tile is followed by its views in one stream now."""
+    maps = spark.createDataFrame([(1, 4, 4, 1, [float(i) for i in range(16)])], "map_name long, h int, w int, channels int, pixels array<double>")
+    views = spark.createDataFrame([(i, 1, [[0.0, 0.0], [3.0, 0.0], [3.0, 3.0], [0.0, 3.0]]) for i in range(5)], "view long, map_name long, corners array<array<double>>")
+    cut = tf.cut_views(views, tf.tiles(maps, 3), 4, 4, 3, per_tile=2)
+    assert "CoGroup" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.view, [round(v, 6) for v in r.pixels]) for r in cut.collect()) == [(i, [float(v) for v in range(16)]) for i in range(5)]
