@@ -4,6 +4,7 @@ The model reads windows of WINDOW ids; windows overlap by CONTEXT ids and score
 scored once, in batches with a causal mask. The frequent ids are classes of their own; the others share one class and are
 told apart by their corpus frequencies after the id before, so a score is a probability over all ids and the end. The
 logits start from the smoothed frequency of a class after the id before it; attention learns what the wider context adds.
+Classes lie in groups of alike ones: a class has the probability of its group times its own within it.
 
 Corpus statistics cover all training documents: counts of words (hashed to 64 bits) for the base score, of ids and of
 pairs of ids. Texts are split into ids once; the ids are written. The model's weights are fitted on all training
@@ -32,6 +33,7 @@ from .quality_classifier import held_out
 
 WINDOW, CONTEXT = 32, 8
 WIDTH, CLASSES, INPUTS = 16, 256, 4096
+GROUPS = 16  # of alike classes
 #: Rounds of averaging at least, and training ids for each, so that copies are averaged as often for each id at any size.
 ROUNDS, PER_ROUND = 2, 1 << 26
 #: Models that the driver adds up at most; more are added up in tasks first.
@@ -43,8 +45,9 @@ PAIRS, DISCOUNT = 1 << 18, 0.75
 START = 1 << 19  # stands before the first id of a text
 #: Frequent words whose counts are sent to every task; the others' counts are joined.
 FREQUENT = 1 << 16
-BATCH = 64
+BATCH = 256
 BLOCK = 1 << 21  # bytes of text or ids held as arrays at once, or one text
+HELD = 1 << 20  # counts of words or pairs that a task holds before it adds them up
 END_WORD = 0  # stands for the end among word hashes
 
 
@@ -77,12 +80,14 @@ class Attention:
         np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
         h = (x + a @ v)[:, keep:]
-        z = _times(h, p["out"])
-        z += np.take(self.prior, ids[:, keep:], axis=0)
-        z += p["bias"]
-        z -= z.max(-1, keepdims=True)
-        z -= np.log(np.exp(z).sum(-1, keepdims=True))
-        return z, (x, q, k, v, a, h)
+        return self.logs(h, ids[:, keep:]), (x, q, k, v, a, h)
+
+    def logs(self, h: np.ndarray, inp: np.ndarray) -> np.ndarray:
+        """Log probabilities of all classes."""
+        z = _times(h, self.p["out"])
+        z += np.take(self.prior, inp, axis=0)
+        z += self.p["bias"]
+        return _log_shares(z)
 
     def target_logs(self, ids: np.ndarray, target: np.ndarray, keep: int = 0) -> np.ndarray:
         """As forward, of the target classes alone; sums are shifted only where exp overflows or vanishes."""
@@ -100,21 +105,11 @@ class Attention:
         h /= (a.reshape(-1, n) @ np.ones(n, np.float32))[:, None]
         h = h @ p["v"]
         h += seen.reshape(-1, width)
-        first = ids[:, keep:].ravel()
-        z = np.take(self.start, first, axis=0)
-        z += h @ p["out"]
-        got = z[np.arange(len(z)), target.ravel()]
-        with np.errstate(over="ignore"):
-            np.exp(z, out=z)
-        total = z @ np.ones(z.shape[1], np.float32)
-        odd = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
-        total[odd] = 1
-        out = got - np.log(total)
-        if len(odd):
-            z = self.start[first[odd]] + h[odd] @ p["out"]
-            top = z.max(-1)
-            out[odd] = got[odd] - top - np.log(np.exp(z - top[:, None]).sum(-1))
-        return out.reshape(b, n - keep)
+        return self.logs_of(h, ids[:, keep:].ravel(), target.ravel()).reshape(b, n - keep)
+
+    def logs_of(self, h: np.ndarray, inp: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probability of each target class; after ready()."""
+        return _target_logs(self.start, h, self.p["out"], inp, target)
 
     def ready(self) -> Attention:
         """Adds up what target_logs() takes for each input; after the weights have changed."""
@@ -125,9 +120,8 @@ class Attention:
         """Of the mean negative log probability of target (places of weight 0 are left out).
 
         drawn: the classes that the softmax covers beside the target (by default all), each standing for `share` classes."""
-        p, (b, n), across = self.p, ids.shape, self.across()
+        p, (b, n) = self.p, ids.shape
         width = p["emb"].shape[1]
-        cols = np.arange(len(p["bias"])) if drawn is None else drawn
         flat = lambda m: m.reshape(-1, m.shape[-1])
         mixed = p["q"] @ p["k"].T * self.scale
         x = np.take(p["emb"], ids, axis=0)
@@ -142,7 +136,28 @@ class Attention:
         a /= (flat(a) @ np.ones(n, a.dtype)).reshape(b, n, 1)
         c = a @ x
         h = flat(x) + flat(c) @ p["v"]
-        inp, t = ids.ravel(), target.ravel()
+        inp = ids.ravel()
+        dh, g = self.head(h, inp, target.ravel(), (weight.ravel() / max(weight.sum(), 1)).astype(h.dtype), drawn, share)
+        dc = (dh @ p["v"].T).reshape(b, n, width)
+        ds = dc @ x_t
+        ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+        ds *= a
+        dy = flat(ds @ x)
+        g["v"] = flat(c).T @ dh
+        m = flat(x).T @ dy * self.scale
+        g["q"], g["k"] = m @ p["k"], m.T @ p["q"]
+        dx = (dh + dy @ mixed.T).reshape(b, n, width)
+        dx += ds.transpose(0, 2, 1) @ y
+        dx += a.transpose(0, 2, 1) @ dc
+        g["pos"] = np.zeros_like(p["pos"])
+        g["pos"][:n] = dx.sum(0)
+        g["emb"] = _summed(inp, flat(dx), len(p["emb"]))
+        return g
+
+    def head(self, h: np.ndarray, inp: np.ndarray, t: np.ndarray, w: np.ndarray, drawn: np.ndarray | None, share: np.ndarray | None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The softmax's part of the gradient: of h, and of its own weights. w: weights of places, summing to one."""
+        p, across = self.p, self.across()
+        cols = np.arange(len(p["bias"])) if drawn is None else drawn
         out = np.ascontiguousarray(p["out"].T)
         out_t, out = np.take(out, t, axis=0), out[cols]
         z_t = np.einsum("ij,ij->i", h, out_t) + self.prior[inp, t] + p["bias"][t]
@@ -159,7 +174,6 @@ class Attention:
             z_t = z_t - top
         np.exp(z, out=z)
         e_t = np.exp(z_t)
-        w = (weight.ravel() / max(weight.sum(), 1)).astype(z.dtype)
         scale = w / (z.sum(0) + e_t)
         z *= scale
         dz_t = e_t * scale - w
@@ -168,21 +182,7 @@ class Attention:
         g["bias"][cols] += z.sum(1)
         dh = z.T @ out
         dh += dz_t[:, None] * out_t
-        dc = (dh @ p["v"].T).reshape(b, n, width)
-        ds = dc @ x_t
-        ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
-        ds *= a
-        dy = flat(ds @ x)
-        g["v"] = flat(c).T @ dh
-        m = flat(x).T @ dy * self.scale
-        g["q"], g["k"] = m @ p["k"], m.T @ p["q"]
-        dx = (dh + dy @ mixed.T).reshape(b, n, width)
-        dx += ds.transpose(0, 2, 1) @ y
-        dx += a.transpose(0, 2, 1) @ dc
-        g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][:n] = dx.sum(0)
-        g["emb"] = _summed(inp, flat(dx), len(p["emb"]))
-        return g
+        return dh, g
 
     def across(self) -> np.ndarray:
         """The prior with a row for each class."""
@@ -191,6 +191,141 @@ class Attention:
         return self._across[1]
 
 
+def groups_of(prior: np.ndarray, groups: int) -> np.ndarray:
+    """Groups of near sizes of classes that follow alike inputs: halves along the main direction of the prior, again and again."""
+    x = prior.T.astype(np.float64)
+    x = x - x.mean(1, keepdims=True)
+    parts = [np.arange(len(x))]
+    while len(parts) < groups:
+        halves = []
+        for part in parts:
+            y = x[part] - x[part].mean(0)
+            _, axes = np.linalg.eigh(y @ y.T)
+            order = part[np.argsort(axes[:, -1], kind="stable")]
+            halves += [order[: len(order) // 2], order[len(order) // 2 :]]
+        parts = [np.sort(h) for h in halves if len(h)]
+        if len(parts) == len(x):
+            break
+    of = np.zeros(len(x), np.int64)
+    for i, part in enumerate(parts):
+        of[part] = i
+    return of
+
+
+class Grouped(Attention):
+    """As Attention, with a softmax over groups of alike classes and one over the classes of a group: a place needs the
+    groups and the classes of one group, and probabilities still cover all classes. Both start from the prior."""
+
+    NAMES = (*Attention.NAMES, "top", "top_bias")
+
+    def __init__(self, *args, groups: int = GROUPS, of: np.ndarray | None = None, **options):
+        super().__init__(*args, **options)
+        self.of = groups_of(self.prior, groups) if of is None else of
+        order = np.argsort(self.of, kind="stable")
+        self.members = np.split(order, np.flatnonzero(np.diff(self.of[order])) + 1)
+        n, most, kind = len(self.members), max(map(len, self.members)), self.prior.dtype
+        self.place = np.zeros(len(self.of), np.int64)
+        self.within = np.full((n, len(self.prior), most), -1e9, kind)  # groups are filled up with classes that never follow
+        for i, m in enumerate(self.members):
+            self.place[m] = np.arange(len(m))
+            self.within[i, :, : len(m)] = self.prior[:, m]
+        peak = self.within.max(2)
+        self.above = np.ascontiguousarray((np.log(np.exp(self.within - peak[..., None]).sum(2)) + peak).T)
+        self.p |= {"top": np.zeros((len(self.p["q"]), n), np.float32), "top_bias": np.zeros(n, np.float32)}
+
+    def _filled(self, m: np.ndarray) -> np.ndarray:
+        """Columns by class as groups * rows * places."""
+        out = np.zeros((len(self.members), len(m), self.within.shape[2]), m.dtype)
+        out[self.of, :, self.place] = m.T
+        return out
+
+    def logs(self, h, inp):
+        p = self.p
+        top = _log_shares(_times(h, p["top"]) + self.above[inp] + p["top_bias"])
+        out = np.empty((*top.shape[:-1], len(self.of)), top.dtype)
+        for i, m in enumerate(self.members):
+            out[..., m] = _log_shares(_times(h, p["out"][:, m]) + self.within[i, inp, : len(m)] + p["bias"][m]) + top[..., i, None]
+        return out
+
+    def ready(self):
+        self.start_top = self.above + self.p["top_bias"]
+        self.start = self.within + self._filled(self.p["bias"][None])
+        self.outs = self._filled(self.p["out"])
+        return self
+
+    def _sorted(self, t: np.ndarray):
+        """Group of each target, places by it, and where groups start among them."""
+        of = self.of[t]
+        order = np.argsort(of.astype(np.uint16), kind="stable")
+        return of, order, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.members)))]).tolist()
+
+    def logs_of(self, h, inp, target):
+        of, order, at = self._sorted(target)
+        out = _target_logs(self.start_top, h, self.p["top"], inp, of)
+        hs, start = np.take(h, order, axis=0), self.start.reshape(-1, self.start.shape[2])
+        more = [hs[a:b] @ m for m, (a, b) in zip(self.outs, pairwise(at), strict=True)]
+        out[order] += _target_logs(start, np.concatenate(more), None, (of * len(self.prior) + inp)[order], self.place[target[order]])
+        return out
+
+    def head(self, h, inp, t, w, drawn=None, share=None):
+        p = self.p
+        of, order, at = self._sorted(t)
+        z = _less_target(np.take(self.above, inp, axis=0) + h @ p["top"] + p["top_bias"], of, w)
+        g = {"top": h.T @ z, "top_bias": z.sum(0)}
+        dh = z @ p["top"].T
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        hs, outs = np.ones((len(h), h.shape[1] + 1), h.dtype), self._filled(np.vstack([p["out"], p["bias"]]))
+        np.take(h, order, axis=0, out=hs[:, :-1], mode="clip")
+        z = np.take(self.within.reshape(-1, outs.shape[2]), (of * len(self.prior) + inp)[order], axis=0)
+        for out, (a, b) in zip(outs, pairwise(at), strict=True):
+            z[a:b] += hs[a:b] @ out
+        z = _less_target(z, self.place[t[order]], w[order])
+        more, d = np.empty_like(hs), np.zeros_like(outs)
+        for i, (a, b) in enumerate(pairwise(at)):
+            np.matmul(hs[a:b].T, z[a:b], out=d[i])
+            np.matmul(z[a:b], outs[i].T, out=more[a:b])
+        d = d[self.of, :, self.place].T
+        g["out"], g["bias"] = d[:-1], d[-1]
+        dh += np.take(more, back, axis=0)[:, :-1]
+        return dh, g
+
+
+def _log_shares(z: np.ndarray) -> np.ndarray:
+    z -= z.max(-1, keepdims=True)
+    z -= np.log(np.exp(z).sum(-1, keepdims=True))
+    return z
+
+
+def _target_logs(start: np.ndarray, h: np.ndarray, out: np.ndarray | None, inp: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log shares of the targets among start[inp] + h @ out (without out, h itself); sums are shifted only where exp overflows
+    or vanishes."""
+    z = np.take(start, inp, axis=0)
+    z += h if out is None else h @ out
+    got = z[np.arange(len(z)), target]
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    odd = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+    total[odd] = 1
+    logs = got - np.log(total)
+    if len(odd):
+        z = start[inp[odd]] + (h[odd] if out is None else h[odd] @ out)
+        top = z.max(-1)
+        logs[odd] = got[odd] - top - np.log(np.exp(z - top[:, None]).sum(-1))
+    return logs
+
+
+def _less_target(z: np.ndarray, target: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Shares less one at the target, times w: the gradient of z."""
+    if z.max() > 60 or z[np.arange(len(z)), target].min(initial=0) < -60:  # a row holds its target, so no sum vanishes
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (w / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    z[np.arange(len(z)), target] -= w
+    return z
+
+
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by their place among n."""
     order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
@@ -346,17 +481,21 @@ def _before(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.array([h(w) or 1 for w in words.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+    got = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))
+    return np.where(got == END_WORD, np.uint64(1), got).view(np.int64)
+
+
+def _lower(texts: pa.Array):
+    """Runs of about BLOCK bytes of texts, or one text, lower-cased; only one run is copied at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK
+    for a, b in pairwise([0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)] if len(texts) else []):
+        yield pc.ascii_lower(pc.fill_null(pa.concat_arrays([texts.slice(a, b - a)]).cast(pa.large_string()), ""))  # casts read slices from their start
 
 
 def _words(texts: pa.Array):
     """Of runs of texts: distinct hashes, index of each word in them, and where texts start among words."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BLOCK
-    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)] if len(texts) else []
-    for a, b in pairwise(cuts):
-        lists = pc.ascii_split_whitespace(texts.slice(a, b - a))
+    for part in _lower(texts):
+        lists = pc.ascii_split_whitespace(part)
         coded = lists.flatten().dictionary_encode()
         at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
         yield _real(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), at)
@@ -371,9 +510,9 @@ def _real(distinct: pa.Array, index: np.ndarray, at: np.ndarray):
 
 def _both(texts: pa.Array, model: subword.Subwords):
     """As _words, and ids and where texts start among them."""
-    lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    for distinct, index, at, ids, ids_at in model.with_words(lower, BLOCK):
-        yield (*_real(distinct, index, at), ids, ids_at)
+    for part in _lower(texts):
+        for distinct, index, at, ids, ids_at in model.with_words(part, 2 * BLOCK + int(pc.max(pc.binary_length(part)).as_py())):
+            yield (*_real(distinct, index, at), ids, ids_at)
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -410,13 +549,13 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
                 of_id, of_word = np.repeat(train, np.diff(at)), np.repeat(train, np.diff(word_at))
                 ids_total += np.bincount(ids[of_id], minlength=model.size + 1)
                 pairs.append(np.unique((_before(ids, at) << 20 | ids)[of_id], return_counts=True))
-                if sum(len(k) for k, _ in pairs) > 2_000_000:
+                if sum(len(k) for k, _ in pairs) > HELD:
                     pairs = [summed(pairs)]
-                    if len(pairs[0][0]) > 1_000_000:
+                    if len(pairs[0][0]) > HELD // 2:
                         yield out("pair", *pairs.pop())
                 n = np.bincount(index[of_word], minlength=len(hashes))
                 held += [(hashes[n > 0], n[n > 0]), (np.array([END_WORD]), np.array([int(train.sum())]))]
-                if sum(len(k) for k, _ in held) > 2_000_000:
+                if sum(len(k) for k, _ in held) > HELD:
                     yield out("word", *summed(held))
                     held = []
         if held:
@@ -425,6 +564,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield out("pair", *summed(pairs))
         at = np.flatnonzero(ids_total)
         yield out("id", at, ids_total[at])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return docs.select("k", "c", "train", "text").mapInArrow(run, "kind string, key long, n long, k long, c int, train boolean, ids binary")
 
@@ -443,12 +583,12 @@ def _arrays(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: int = ROUNDS, rate: float = 0.02) -> Attention:
     """Fits a copy in each task and averages them, each round; docs: ids, part (the number of the round that reads it)."""
-    model = Attention(prior=prior)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, prior))  # bounded by the model's size
-    kind = "step long, " + ", ".join(f"{k} array<double>" for k in Attention.NAMES)
+    model = Grouped(prior=prior)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, prior, model.of))  # bounded by the model's size
+    kind = "step long, " + ", ".join(f"{k} array<double>" for k in model.NAMES)
 
     def record(step, p):
-        return pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), *(pa.array([p[k].ravel().astype(np.float64)]) for k in Attention.NAMES)], names=["step", *Attention.NAMES])
+        return pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), *(pa.array([p[k].ravel().astype(np.float64)]) for k in model.NAMES)], names=["step", *model.NAMES])
 
     def total(rows):
         """Steps and sums of weights times steps."""
@@ -456,7 +596,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: in
         for b in rows:
             for i in range(b.num_rows):
                 step += b["step"][i].as_py()
-                for k in Attention.NAMES:
+                for k in model.NAMES:
                     p[k] = p.get(k, 0) + b[k][i].values.to_numpy()
         return step, p
 
@@ -469,8 +609,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: in
         start = model.p
 
         def run(batches, start=start, part=part):
-            vocabulary, prior = shared.value
-            net = Attention(prior=prior)
+            vocabulary, prior, of = shared.value
+            net = Grouped(prior=prior, of=of)
             net.p = {k: v.copy() for k, v in start.items()}
             m = {k: np.zeros_like(v) for k, v in net.p.items()}
             s = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -490,9 +630,17 @@ def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: in
                     step += 1
                     pace = rate * (0.5 if part else 1.0) / (1 + step / 400)
                     for k, d in g.items():
-                        m[k] += 0.1 * (d - m[k])
-                        s[k] += 0.01 * (d * d - s[k])
-                        net.p[k] -= np.float32(pace / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+                        m[k] *= np.float32(0.9)
+                        s[k] *= np.float32(0.99)
+                        m[k] += np.float32(0.1) * d
+                        d *= d
+                        d *= np.float32(0.01)
+                        s[k] += d
+                        d = np.sqrt(s[k])
+                        d += np.float32(1e-6 * np.sqrt(1 - 0.99**step))
+                        np.divide(m[k], d, out=d)
+                        d *= np.float32(pace * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+                        net.p[k] -= d
 
             for b in batches:
                 for x, y in _blocks(b.column(0)):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import decontamination, lm_scoring, quality_classifier, url_filter
@@ -387,3 +388,44 @@ def test_gradient_of_drawn_classes():
             down = loss()
             v.flat[i] = old
             assert abs((up - down) / 2e-5 - g[k].flat[i]) < 1e-4, k
+
+
+def test_groups_share_one_softmax_over_all_classes(monkeypatch):
+    """Probabilities of grouped classes sum to one, start as the prior's, and the gradient is that of their logs."""
+    rng = np.random.default_rng(3)
+    prior = rng.standard_normal((7, 9)) * 3
+    net = lm_scoring.Grouped(inputs=7, width=3, classes=9, window=6, prior=prior, groups=4)
+    assert sorted(np.concatenate(net.members).tolist()) == list(range(9)) and len(net.members) == 4
+    flat = lm_scoring.Attention(inputs=7, width=3, classes=9, window=6, prior=prior)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    ids, target, weight = rng.integers(0, 7, (2, 6)), rng.integers(0, 9, (2, 6)), rng.random((2, 6)) < 0.8
+    h = np.zeros((2, 6, 3))
+    assert np.allclose(net.logs(h, ids), flat.logs(h, ids))
+    net.p |= {k: rng.standard_normal(net.p[k].shape) for k in ("top", "top_bias", "bias")}
+    z, _ = net.forward(ids)
+    assert np.allclose(np.exp(z).sum(-1), 1)
+    assert np.allclose(net.ready().target_logs(ids, target), np.take_along_axis(z, target[..., None], 2)[..., 0])
+
+    def loss():
+        return -(np.take_along_axis(net.forward(ids)[0], target[..., None], 2)[..., 0] * weight).sum() / weight.sum()
+
+    g = net.gradient(ids, target, weight)
+    assert set(g) == set(net.NAMES)
+    for k, v in net.p.items():
+        for i in rng.integers(0, v.size, 8):
+            old, ends = v.flat[i], []
+            for step in (1e-5, -1e-5):
+                v.flat[i] = old + step
+                ends.append(loss())
+            v.flat[i] = old
+            assert abs((ends[0] - ends[1]) / 2e-5 - g[k].flat[i]) < 1e-4, k
+
+
+def test_texts_are_lowered_run_by_run(monkeypatch):
+    """A batch is not copied whole; nulls and empty texts stay in their places."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 100)
+    texts = pa.array([None, "", *[f"A{i} b C " * 10 for i in range(20)], None])
+    parts = list(lm_scoring._lower(texts))
+    assert pa.chunked_array(parts).to_pylist() == [(t or "").lower() for t in texts.to_pylist()]
+    assert max(p.nbytes for p in parts) < 400
+    assert sum(len(at) - 1 for _, _, at in lm_scoring._words(texts)) == len(texts)
