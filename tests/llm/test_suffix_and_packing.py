@@ -143,3 +143,15 @@ def test_plan_fills_every_slot_once():
 def test_empty(spark, empty_dir):
     assert packing.op8_best_fit_packing(spark, empty_dir).count() == 0
     assert substring_dedup.op7_suffix_array_dedup(spark, empty_dir).count() == 0
+
+
+def test_waves_are_dealt_without_a_call_for_each_bucket(monkeypatch):
+    """Also where the symbols need more than 16 bits."""
+    rng = np.random.default_rng(8)
+    texts = [np.append(rng.integers(1, size, 3000), 0) for size in (3, 200)]
+    texts.append(np.append(np.where(rng.random(3000) < 0.9, 70_000, 5), 0))
+    monkeypatch.setattr(np, "split", None)
+    for t in texts:
+        sa = suffix_array.suffix_array(t)
+        x, ends = t.tolist(), sa.tolist()
+        assert sorted(ends) == list(range(len(x))) and all(x[a:] < x[b:] for a, b in zip(ends, ends[1:]))  # noqa: B905
