@@ -18,6 +18,8 @@ held-out split. Without training documents the model is uniform over ids.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from itertools import pairwise
 
 import numpy as np
@@ -47,6 +49,8 @@ START = 1 << 19  # stands before the first id of a text
 FREQUENT = 1 << 16
 BATCH = 256
 BLOCK = 1 << 21  # bytes of text or ids held as arrays at once, or one text
+SCORED = 1 << 19  # bytes of ids that are scored at once, or one document
+ROWS = 1000  # documents that Spark sends to a task at once (10,000 by default, which are 50 MB of ids in the JVM and again here)
 HELD = 1 << 20  # counts of words or pairs that a task holds before it adds them up
 END_WORD = 0  # stands for the end among word hashes
 
@@ -564,14 +568,34 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield out("pair", *summed(pairs))
         at = np.flatnonzero(ids_total)
         yield out("id", at, ids_total[at])
-        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
+        held = pairs = []
+        give_back()
 
     return docs.select("k", "c", "train", "text").mapInArrow(run, "kind string, key long, n long, k long, c int, train boolean, ids binary")
 
 
-def _blocks(ids: pa.Array) -> list[tuple[int, int]]:
-    """Runs of written documents of about BLOCK bytes, or one document."""
-    sizes = np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system: its worker goes on to other stages, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int | None = None):
+    """Jobs that start inside send `rows` rows (ROWS) to a Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows or ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _blocks(ids: pa.Array, block: int = BLOCK) -> list[tuple[int, int]]:
+    """Runs of written documents of about `block` bytes, or one document."""
+    sizes = np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)) // block
     return list(pairwise([0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(ids)])) if len(ids) else []
 
 
@@ -647,6 +671,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, rounds: in
                     learn(*_arrays(b.column(0).slice(x, y - x)))
             if step:
                 yield record(step, {k: v.astype(np.float64) * step for k, v in net.p.items()})
+            give_back()
 
         fitted = settle(docs.sparkSession, lambda run=run, part=part: docs.where(F.col("part") == part).select("ids").mapInArrow(run, kind))
         if fitted.count() > MODELS:
@@ -672,9 +697,11 @@ def base_scores(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
 
     def run(batches):
         hot = shared.value
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for b in batches:
-            rows: list[tuple] = []
+            row = 0
             for hashes, index, at in _words(b.column(3)):
+                rows: list[tuple] = []
                 place = np.minimum(np.searchsorted(hot[:, 0], hashes), max(len(hot) - 1, 0))
                 is_hot = hot[place, 0] == hashes if len(hot) else np.zeros(len(hashes), bool)
                 count = np.where(is_hot, hot[place, 1], 0) if len(hot) else np.zeros(len(hashes), np.int64)
@@ -683,9 +710,10 @@ def base_scores(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
                     i = index[x:y]
                     far, n = np.unique(i[cold[i]], return_counts=True) if cut is not None else (i[:0], i[:0])
                     rows.append((len(i) + 1, int(known[i].sum()) + (end_count > 0), float(log[i].sum()) + float(np.log10(end_count + 1.0)), hashes[far], n.astype(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, len(rows)) for c in b.columns[:3]), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
+                row += len(rows)
+        give_back()
 
     kind = docs.schema["key"].dataType.simpleString()
     rows = docs.select("k", "c", "key", "text").mapInArrow(run, f"k long, c int, key {kind}, n_tokens long, n_known long, base double, rest_h array<long>, rest_n array<long>")
@@ -706,16 +734,14 @@ def model_scores(ids: DataFrame, vocabulary: Vocabulary, model: Attention, rare_
     def run(batches):
         vocabulary, model = shared.value
         for b in batches:
-            logs, pair_rows = [], []
-            for x, y in _blocks(b.column(2)):
+            for x, y in _blocks(b.column(2), SCORED):
                 ids, at = _arrays(b.column(2).slice(x, y - x))
                 before = _before(ids, at)
                 within, place, keys = vocabulary.looked_up(ids, before)
                 p = scored(model, _shifted(vocabulary.inp[ids], at), vocabulary.cls[ids].astype(np.int64), at) / np.log(10) + within
-                logs.append(np.add.reduceat(p, at[:-1]))
-                pair_rows += [np.unique(k, return_counts=True) for k in np.split(keys, np.searchsorted(place, at[1:-1]))]
-            cols = list(zip(*pair_rows, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([np.zeros(0), *logs]).astype(np.float64)), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["k", "c", "score", "pair", "pair_n"])
+                pairs = zip(*(np.unique(k, return_counts=True) for k in np.split(keys, np.searchsorted(place, at[1:-1]))), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), b.column(1).slice(x, y - x), pa.array(np.add.reduceat(p, at[:-1]).astype(np.float64)), *(pa.array(c, pa.list_(pa.int64())) for c in pairs)], names=["k", "c", "score", "pair", "pair_n"])
+        give_back()
 
     rows = ids.select("k", "c", "ids").mapInArrow(run, "k long, c int, score double, pair array<long>, pair_n array<long>")
     if rare_pairs is None:
@@ -748,7 +774,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_when=N
         rows, n_tokens = base_scores(docs, found.where("kind = 'word'").select(F.col("key").alias("h"), F.col("n").alias("c")))
         return rows.join(scores, ["k", "c"], "left").select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
-    return settle(spark, scored_rows)
+    with small_batches(spark):
+        return settle(spark, scored_rows)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from corpusloom.llm import decontamination, lm_scoring, quality_classifier, url_filter
 
@@ -429,3 +430,49 @@ def test_texts_are_lowered_run_by_run(monkeypatch):
     assert pa.chunked_array(parts).to_pylist() == [(t or "").lower() for t in texts.to_pylist()]
     assert max(p.nbytes for p in parts) < 400
     assert sum(len(at) - 1 for _, _, at in lm_scoring._words(texts)) == len(texts)
+
+
+def test_scores_are_given_out_run_by_run(spark, monkeypatch):
+    """A task holds the scores of one run of texts or ids, not of a whole batch, and gives back what it has freed at its end."""
+    given, out = [], {}
+    monkeypatch.setattr(lm_scoring, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(lm_scoring, "SCORED", 400)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 400)
+
+    class Docs:
+        sparkSession = spark
+        schema = {"key": T.StructField("key", T.LongType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            out["run"] = run
+            raise StopIteration
+
+    texts = [f"text {i} of {i * i}" * 5 for i in range(40)]
+    sub = lm_scoring.subword.load(lm_scoring.subword.tokenizer_path())
+    ids = [np.array([*sub.library.encode(t, add_special_tokens=False).ids, sub.size], "<i4") for t in texts]
+    k, c = pa.array(range(40), pa.int64()), pa.array([0] * 40, pa.int32())
+    vocabulary, model = lm_scoring.Vocabulary(np.ones(sub.size + 1)), lm_scoring.Grouped(prior=lm_scoring.prior_logits(np.zeros((lm_scoring.INPUTS + 2, lm_scoring.CLASSES))))
+    with pytest.raises(StopIteration):
+        lm_scoring.model_scores(Docs(), vocabulary, model, None)
+    got = list(out["run"](iter([pa.RecordBatch.from_arrays([k, c, pa.array([x.tobytes() for x in ids])], names=["k", "c", "ids"])])))
+    assert len(got) > 5 and [x for b in got for x in b.column(0).to_pylist()] == list(range(40)) and len(given) == 1
+    words = spark.createDataFrame([(int(h), 2) for h in lm_scoring._hashes(pa.array(["text", "of"]))], "h long, c long")
+    with pytest.raises(StopIteration):
+        lm_scoring.base_scores(Docs(), words)
+    got = list(out["run"](iter([pa.RecordBatch.from_arrays([k, c, k, pa.array(texts)], names=["k", "c", "key", "text"])])))
+    assert len(got) > 5 and [x for b in got for x in b.column(2).to_pylist()] == list(range(40)) and len(given) == 2
+    assert [x for b in got for x in b.column(3).to_pylist()] == [len(t.split()) + 1 for t in texts]
+
+
+def test_documents_reach_tasks_in_small_batches(spark, monkeypatch):
+    """Ids come to the fitting and scoring tasks in batches of ROWS documents at most; the session's own setting is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, rows = spark.conf.get(name), [], lm_scoring.model_scores
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    monkeypatch.setattr(lm_scoring, "ROWS", 7)
+    monkeypatch.setattr(lm_scoring, "model_scores", lambda ids, *args: seen.extend(r.n for r in ids.coalesce(1).mapInArrow(count, "n long").collect()) or rows(ids, *args))
+    assert lm_scoring.score(spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")).count() == 40
+    assert sum(seen) == 40 and max(seen) <= 7 and spark.conf.get(name) == before
