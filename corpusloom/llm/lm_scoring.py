@@ -52,6 +52,7 @@ BLOCK = 1 << 21  # bytes of text or ids held as arrays at once, or one text
 SCORED = 1 << 19  # bytes of ids that are scored at once, or one document
 ROWS = 1000  # documents that Spark sends to a task at once (10,000 by default, which are 50 MB of ids in the JVM and again here)
 HELD = 1 << 20  # counts of words or pairs that a task holds before it adds them up
+SENT = 1 << 16  # counts that a task gives out at once
 END_WORD = 0  # stands for the end among word hashes
 
 
@@ -534,7 +535,11 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             key, at = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
             return key, np.bincount(at, np.concatenate([n for _, n in some])).astype(np.int64)
 
-        def out(kind, key, n):
+        def out(kind, keys, counts):
+            for i in range(0, len(keys), SENT):
+                yield sent(kind, keys[i : i + SENT], counts[i : i + SENT])
+
+        def sent(kind, key, n):
             none = lambda t: pa.nulls(len(key), t)
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.bool_()), none(pa.binary())], names=names)
 
@@ -556,18 +561,18 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
                 if sum(len(k) for k, _ in pairs) > HELD:
                     pairs = [summed(pairs)]
                     if len(pairs[0][0]) > HELD // 2:
-                        yield out("pair", *pairs.pop())
+                        yield from out("pair", *pairs.pop())
                 n = np.bincount(index[of_word], minlength=len(hashes))
                 held += [(hashes[n > 0], n[n > 0]), (np.array([END_WORD]), np.array([int(train.sum())]))]
                 if sum(len(k) for k, _ in held) > HELD:
-                    yield out("word", *summed(held))
+                    yield from out("word", *summed(held))
                     held = []
         if held:
-            yield out("word", *summed(held))
+            yield from out("word", *summed(held))
         if pairs:
-            yield out("pair", *summed(pairs))
+            yield from out("pair", *summed(pairs))
         at = np.flatnonzero(ids_total)
-        yield out("id", at, ids_total[at])
+        yield from out("id", at, ids_total[at])
         held = pairs = []
         give_back()
 

@@ -476,3 +476,22 @@ def test_documents_reach_tasks_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "model_scores", lambda ids, *args: seen.extend(r.n for r in ids.coalesce(1).mapInArrow(count, "n long").collect()) or rows(ids, *args))
     assert lm_scoring.score(spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")).count() == 40
     assert sum(seen) == 40 and max(seen) <= 7 and spark.conf.get(name) == before
+
+
+def test_counts_leave_a_task_in_small_batches(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SENT", 16)
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = [f"word{i} other{i % 7}" for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([0] * 50, pa.int32()), pa.array([True] * 50), pa.array(texts)], names=["k", "c", "train", "text"])
+    got = [b for b in lm_scoring.encoded(Docs(), lm_scoring.subword.tokenizer_path())(iter([batch])) if b.column(0)[0].as_py() != "doc"]
+    assert max(b.num_rows for b in got) == 16
+    words = {k: n for b in got if b.column(0)[0].as_py() == "word" for k, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())}
+    want = Counter(w for t in texts for w in t.split())
+    assert words == {lm_scoring.END_WORD: 50} | {int(h): want[w] for w, h in zip(want, lm_scoring._hashes(pa.array(list(want))))}
