@@ -25,10 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, release, scratch, settle, table
+from .common import give_back, materialize, parts, release, scratch, settings, settle, table
 
 #: Bytes of text in a block; places for each range of keys; sampled keys for each range; buckets of the dense ids; salts.
 BLOCK, RANGE, OVER, BUCKETS, SALT = 1 << 22, 1 << 20, 8, 512, 16
+#: Bytes that the JVM and a worker send each other at once, or one row: batches lie in both outside the JVM's heap, and there twice while they grow.
+SENT = 1 << 22
+#: Blocks of a row group of what is written (a reader holds a whole one), and blocks whose maps a task collects side by side.
+GROUP, SIDE = 2, 16
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 46 if 10 <= c <= 13 or c in b".,;:!?" else 32 if c == 9 else c for c in range(256))
 
@@ -73,6 +77,7 @@ def encoded(docs: DataFrame) -> DataFrame:
                     yield out(lang)
         for lang in list(held):
             yield out(lang)
+        give_back()
 
     return docs.mapInArrow(work, "block string, lang string, words array<string>, counts array<long>, codes array<int>")
 
@@ -158,6 +163,7 @@ def as_ids(blocks: DataFrame, maps: DataFrame, longest: int, width: int, most: i
                 ids = ids[(ids > 0) | np.concatenate([[False], ids[:-1] > 0])]
                 some = np.unique(_sampled(keys_of(ids, longest, width), rate, block), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([[x.tobytes() for x in some]], pa.list_(pa.binary()))], names=["ids", "sample"])
+        give_back()
 
     return blocks.join(maps, "block").select("block", "codes", "pairs").mapInArrow(work, f"ids array<{name}>, sample array<binary>")
 
@@ -172,10 +178,12 @@ def runs(blocks: DataFrame, cuts: list[bytes], longest: int, width: int) -> Data
             for ids in b.column(0):
                 keys = keys_of(ids.values.to_numpy(), longest, width)
                 keys, counts = sort_and_count(keys, np.ones(len(keys), np.int64))
-                at = np.concatenate([[0], np.searchsorted(keys.view(f"S{size}").ravel(), bounds), [len(keys)]]) if len(keys) else [0]
-                some = [i for i in range(len(at) - 1) if at[i] < at[i + 1]]
-                cols = (some, [keys[at[i] : at[i + 1]].tobytes() for i in some], [counts[at[i] : at[i + 1]] for i in some])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["range", "keys", "counts"])
+                at = np.concatenate([[0], np.searchsorted(keys.view(f"S{size}").ravel(), bounds), [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+                every = np.flatnonzero(np.diff(at))
+                for some in np.split(every, np.flatnonzero(np.diff(at[every] * (size + 8) // SENT)) + 1):
+                    cols = (some, [keys[at[i] : at[i + 1]].tobytes() for i in some], [counts[at[i] : at[i + 1]] for i in some])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["range", "keys", "counts"])
+        give_back()
 
     return blocks.select("ids").mapInArrow(work, "range int, keys binary, counts array<long>")
 
@@ -192,9 +200,11 @@ def counted(found: DataFrame, longest: int, width: int, least: int) -> DataFrame
                     yield out(held)
                     held = []
                 at = r
-                held.append((np.frombuffer(keys.as_py(), np.uint8).reshape(-1, size), counts.values.to_numpy()))
+                held.append((np.frombuffer(keys.as_py(), np.uint8).reshape(-1, size), counts.values.to_numpy().copy()))  # a view would keep the batch
         if held:
             yield out(held)
+        held = []
+        give_back()
 
     def out(held):
         keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -251,9 +261,14 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     """lang, rank, phrase, a, l, r, n and score of the top phrases of 2 to longest words that occur least times or more.
 
     inside: a phrase is dropped if this share (in hundredths) of its places or more lies in one longer phrase."""
-    spark = docs.sparkSession
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": SENT, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": SIDE}):
+        return _collocations(docs, text, lang, longest, least, inside, top)
+
+
+def _collocations(docs: DataFrame, text: str, lang: str, longest: int, least: int, inside: int, top: int) -> DataFrame:
+    spark, groups = docs.sparkSession, {"parquet.block.row.count.limit": GROUP}
     rows = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    blocks, written = materialize(encoded(rows)), scratch()[-1]
+    blocks, written = materialize(encoded(rows), **groups), scratch()[-1]
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "lang", (F.col("i") + 1).alias("i"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     totals = materialize(each.groupBy("lang").agg(F.sum("n").alias("n")))
     frequent = settle(spark, lambda: dictionary(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)))
@@ -261,7 +276,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     width, ranges = width_of(most), max(parts(spark), places // RANGE)
     words = frequent.withColumn("key", F.unhex(F.lpad(F.hex("id"), 2 * width, "0")))
     maps = each.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("pairs"))
-    coded = materialize(as_ids(blocks, maps, longest, width, most, OVER * ranges / max(1, places)))
+    coded = materialize(as_ids(blocks, maps, longest, width, most, OVER * ranges / max(1, places)), **groups)
     release(spark, [written])
     written = scratch()[-1]
     cuts = splitters(coded, ranges)

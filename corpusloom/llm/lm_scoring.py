@@ -19,7 +19,6 @@ held-out split. Without training documents the model is uniform over ids.
 from __future__ import annotations
 
 import contextlib
-import ctypes
 from itertools import pairwise
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import materialize, settle, table
+from .common import give_back, materialize, settle, table
 from .quality_classifier import held_out
 
 WINDOW, CONTEXT = 32, 8
@@ -579,13 +578,6 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("k", "c", "train", "text").mapInArrow(run, "kind string, key long, n long, k long, c int, train boolean, ids binary")
 
 
-def give_back() -> None:
-    """Memory that a task has freed goes back to the system: its worker goes on to other stages, beside the JVM's heap."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int | None = None):
     """Jobs that start inside send `rows` rows (ROWS) to a Python worker at once."""

@@ -3,6 +3,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -77,6 +79,35 @@ def test_ranges_of_repeated_texts_stay_small(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows) and sum(sizes) == 300 * 59 and max(sizes) < 1500
 
 
+def test_batches_and_row_groups_are_bounded(spark, monkeypatch):
+    """A task's whole partition went to its worker as one batch, and all blocks of a task were one row group."""
+    rows = [(" ".join(f"w{(i * 7 + j * j) % 90}" for j in range(60)), "en") for i in range(200)]
+    for name, x in (("BLOCK", 100), ("RANGE", 200), ("SENT", 3000)):
+        monkeypatch.setattr(collocations, name, x, raising=False)
+    real, sent, groups = collocations.counted, [], []
+
+    def spy(found, *options):
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], names=["n", "rows"])
+
+        x = found.repartition(2, "range").mapInArrow(sizes, "n long, rows long").collect()
+        sent.extend((r.n, r.rows) for r in x)
+        return real(found, *options)
+
+    def written(df, real=collocations.materialize, **options):
+        out = real(df, **options)
+        if {"codes", "ids"} & set(out.columns):
+            groups.extend(m.row_group(i).num_rows for f in out.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups))
+        return out
+
+    monkeypatch.setattr(collocations, "counted", spy)
+    monkeypatch.setattr(collocations, "materialize", written)
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(2))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    assert len(sent) > 10 and max(n for n, k in sent if k > 1) < 9000 and len(groups) > 50 and max(groups) <= collocations.GROUP
+
+
 def test_empty_tables_and_texts(spark, empty_dir):
     df = collocations.op13_collocations(spark, empty_dir)
     assert df.count() == 0 and df.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and {t for c, t in df.dtypes if c not in ("lang", "phrase")} == {"bigint"}
